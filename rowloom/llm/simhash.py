@@ -180,6 +180,12 @@ def links(reps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
     ``radius`` bits apart."""
     parts = plan(reps, radius)
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for k, (bits, _) in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(buckets_key(gather(fp, bits), k))], ["key"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1 << 14):
@@ -205,7 +211,7 @@ def links(reps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
     rows = reps.select("fp", "rep").mapInArrow(deal, "key long, role int, fp long, rep long")
-    sizes = rows.filter("role = 0").groupBy("key").agg(F.count("*").alias("n"))
+    sizes = reps.select("fp").mapInArrow(members, "key long").groupBy("key").agg(F.count("*").alias("n"))
     return buckets.grid(rows, sizes, most, "fp").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
 
 
