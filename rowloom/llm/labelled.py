@@ -16,10 +16,12 @@ def fold(n: int, column: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, leave_out: int, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> list:
-    """Rows (text, label, fold) with label 0 or 1, at most ``per_class`` of each: those with the smallest hash of their id,
-    none of fold ``leave_out``. An id with both labels counts as 1. At most 2 * per_class ids travel to the documents."""
+    """Rows (text, label, fold, doc_id, weight) with label 0 or 1, at most ``per_class`` ids of each: those with the smallest
+    hash of their id, none of fold ``leave_out``. An id with both labels counts as 1. ``weight`` makes up for the rows of a
+    label that were left out. At most 2 * per_class ids travel to the documents."""
     one = labels.select("doc_id", F.col(f"`{label}`").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     one = one.filter(fold(folds) != leave_out).groupBy("doc_id").agg(F.max("label").alias("label"))
+    total = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pick = None
     for value in (0, 1):
         part = one.filter(F.col("label") == value).withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(per_class).drop("o")
@@ -31,4 +33,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, leave_out
         .select("text", "label", fold(folds).cast("int").alias("fold"), "doc_id")
         .collect()
     )
-    return sorted(got, key=lambda r: (r.doc_id, r.text))
+    took = {v: len({r.doc_id for r in got if r.label == v}) for v in (0, 1)}
+    got = sorted(got, key=lambda r: (r.doc_id, r.text))
+    return [(r.text, r.label, r.fold, r.doc_id, total[r.label] / took[r.label]) for r in got]

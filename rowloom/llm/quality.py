@@ -1,10 +1,11 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and which of the two shortens a text more.
 
 Each dictionary is trained on pieces of labelled texts of its class. A text is cut into pieces of ``PIECE`` bytes, each
-compressed with either dictionary; the difference of both totals over the text's length, shrunk a little for short
-texts, is turned into a probability by a logistic fit on labelled texts that the dictionaries have not seen.
+compressed with either dictionary; the difference of both totals over the text's length is turned into a probability by
+a logistic fit on labelled texts that the dictionaries have not seen. A short text says little: its log odds are shrunk
+towards those of the labels at large, half way at ``SHRINK`` bytes.
 
-Defined cases: null and empty texts have difference zero; without labels of both kinds every score is 0.5; repeated
+Defined cases: null and empty texts score as the labels at large; without labels of both kinds every score is 0.5; repeated
 rows score alike; an empty table gives an empty result; extra columns are kept by ``keep_good``, ignored by ``scores``.
 """
 
@@ -22,18 +23,18 @@ from rowloom.llm import labelled, store
 
 PIECE = 512
 DICT_BYTES = 1 << 15
-SHRINK = 64.0
+SHRINK = 256.0
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
 
 
 class Model:
     """Two dictionaries and the logistic curve; travels to the tasks as plain bytes and numbers."""
 
-    def __init__(self, bad: bytes, good: bytes, curve: tuple[float, float]):
-        self.dicts, self.curve, self.ready = (bad, good), curve, None
+    def __init__(self, bad: bytes, good: bytes, curve: tuple[float, float], prior: float = 0.0):
+        self.dicts, self.curve, self.prior, self.ready = (bad, good), curve, prior, None
 
     def __getstate__(self):
-        return {"dicts": self.dicts, "curve": self.curve, "ready": None}
+        return self.__dict__ | {"ready": None}
 
     def sizes(self, text: bytes) -> tuple[int, int]:
         if self.ready is None:
@@ -45,11 +46,13 @@ class Model:
     def difference(self, text: str | None) -> float:
         raw = (text or "").encode()
         a, b = self.sizes(raw)
-        return (a - b) / (len(raw) + SHRINK)
+        return (a - b) / max(len(raw), 1)
 
     def scores(self, texts: list) -> np.ndarray:
         d = np.array([self.difference(t) for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(self.curve[0] * d + self.curve[1], -40, 40)))
+        n = np.array([len((t or "").encode()) for t in texts], float)
+        z = (n * (self.curve[0] * d + self.curve[1]) + SHRINK * self.prior) / (n + SHRINK)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -70,15 +73,15 @@ def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
     return whole[:size] or b"        "
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by damped Newton steps with a small ridge, x scaled to unit spread."""
     s = max(float(np.std(x)), 1e-9)
     a = np.stack([x / s, np.ones(len(x))], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + np.array([1e-2, 0]) * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
+        g = a.T @ (weight * (p - y)) + np.array([1e-2, 0]) * w
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
         d = np.linalg.solve(h, g)
         w = w - d * min(1.0, 4 / max(np.abs(d).max(), 1e-12))
         if np.abs(d).max() < 1e-8:
@@ -87,13 +90,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list, calibrate: int = CALIBRATE) -> Model:
-    """rows: (text, label, fold, ...)."""
+    """rows: (text, label, fold, id, weight)."""
     by = {v: [r[0] for r in rows if r[1] == v and r[2] != calibrate] for v in (0, 1)}
     model = Model(dictionary(by[0]), dictionary(by[1]), (0.0, 0.0))
     held = [r for r in rows if r[2] == calibrate]
     y = np.array([r[1] for r in held], float)
     if by[0] and by[1] and 0 < y.sum() < len(y):
-        model.curve = logistic(np.array([model.difference(r[0]) for r in held]), y)
+        weight = np.array([r[4] for r in held])
+        model.curve = logistic(np.array([model.difference(r[0]) for r in held]), y, weight)
+        model.prior = float(np.log((weight * y).sum() / (weight * (1 - y)).sum()))
     return model
 
 

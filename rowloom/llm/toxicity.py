@@ -1,7 +1,8 @@
 """Toxicity by a convolutional text classifier, trained in numpy, with thresholds calibrated by language.
 
-Words (lower-cased runs of letters, digits and non-ASCII bytes) get an embedding from two hashed tables side by side, so
-that two words are confused only if they collide in both. Filters of widths 1, 2 and 3 slide over the whole text; each
+Words (lower-cased runs of letters, digits and non-ASCII bytes) get an embedding from two hashed tables side by side: one
+of the whole word, one of its stem, the first ``STEM`` bytes. The first number of an embedding starts at the smoothed log
+odds of its bucket among the training texts, the others at small random values. Filters of widths 1, 2 and 3 slide over the whole text; each
 filter's maximum, rectified, feeds a logistic output. Training walks whole texts of a bounded sample with Adam; buckets
 that the sample never touches are zero afterwards, so an unknown word changes nothing.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import labelled, store, words
 from rowloom.llm.quality import finish
 
-BUCKETS, HALF, FILTERS = 1 << 16, 8, 8
+BUCKETS, HALF, FILTERS, STEM = 1 << 16, 8, 8, 4
 DIM, WIDTHS = 2 * HALF, (1, 2, 3)
 COLUMNS = sum(WIDTHS) * FILTERS
 EPOCHS, BATCH, RATE = 12, 64, 0.01
@@ -54,7 +55,8 @@ class Texts:
         total = len(w.hash) + 2 * n
         self.a, self.b = np.full(total, BUCKETS, np.int64), np.full(total, BUCKETS, np.int64)
         self.a[at] = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
-        self.b[at] = ((w.hash >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        stem = w.cut(w.start, np.minimum(w.end, w.start + STEM))
+        self.b[at] = (stem & np.uint64(BUCKETS - 1)).astype(np.int64)
         text = np.repeat(np.arange(n), size)
         votes = np.stack([np.bincount(text[np.isin(w.hash, h)], minlength=n) for h in _function_hashes()] + [np.full(n, 0.5)], axis=1)
         self.lang = votes.argmax(axis=1)
@@ -133,7 +135,7 @@ def _join(texts: list[str]) -> Texts:
 
 
 def train(rows: list, epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """rows: (text, label, fold, ...); folds other than CALIBRATE train, CALIBRATE sets the thresholds."""
+    """rows: (text, label, fold, id, weight); folds other than CALIBRATE train, CALIBRATE sets the thresholds."""
     m = Model(seed)
     part = [r for r in rows if r[2] != CALIBRATE]
     y = np.array([r[1] for r in part], np.float32)
@@ -141,6 +143,10 @@ def train(rows: list, epochs: int = EPOCHS, seed: int = 11) -> Model:
         return m
     t = _join([r[0] for r in part])
     rng = np.random.default_rng(seed)
+    for e, ids in ((m.ea, t.a), (m.eb, t.b)):
+        e[:-1, 0] = _log_odds(t, ids, y)
+    m.w[0] = np.abs(m.w[0])
+    m.w[HALF] = np.abs(m.w[HALF])
     dense = [m.w, m.bias, m.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     grown = [np.full(len(m.ea), 1e-6, np.float32), np.full(len(m.eb), 1e-6, np.float32)]
@@ -163,6 +169,16 @@ def train(rows: list, epochs: int = EPOCHS, seed: int = 11) -> Model:
     return m
 
 
+def _log_odds(t: Texts, ids: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
+    """Log odds of a text with the bucket to be toxic against all texts; ``least`` texts of the common kind are added."""
+    text = np.repeat(np.arange(len(y)), np.diff(np.r_[t.first, len(ids)]))
+    once = np.unique(text * (BUCKETS + 1) + ids)
+    label, bucket = y[once // (BUCKETS + 1)], once % (BUCKETS + 1)
+    one, zero = (np.bincount(bucket, weights=w, minlength=BUCKETS + 1)[:-1] for w in (label, 1 - label))
+    rate = y.mean()
+    return (0.3 * np.log((one + least * rate) / (zero + least * (1 - rate)) * (1 - rate) / rate)).astype(np.float32)
+
+
 def _step(m: Model, t: Texts, docs, y, weight, dense, moments, grown, step) -> None:
     f = len(WIDTHS) * FILTERS
     size = np.maximum(t.size[docs], 1)
@@ -205,13 +221,13 @@ def _step(m: Model, t: Texts, docs, y, weight, dense, moments, grown, step) -> N
         e[-1] = 0
 
 
-def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is largest."""
+def _best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The middle of the gap at which F1 of the weighted rows is largest."""
     order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    tp, n = np.cumsum(y), np.arange(1, len(y) + 1)
+    z, y, weight = z[order], y[order], weight[order]
+    tp, n = np.cumsum(y * weight), np.cumsum(weight)
     last = np.r_[z[1:] != z[:-1], True]
-    f1 = np.where(last, 2 * tp / (n + y.sum()), -1)
+    f1 = np.where(last, 2 * tp / (n + tp[-1]), -1)
     k = int(f1.argmax())
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
@@ -219,11 +235,12 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
 def _calibrate(m: Model, rows: list, least: int = 10) -> None:
     t = _join([r[0] for r in rows])
     y, z = np.array([r[1] for r in rows], float), m.logits(t).astype(np.float64)
-    whole = _best_cut(z, y) if 0 < y.sum() < len(y) else 0.0
+    weight = np.array([r[4] for r in rows])
+    whole = _best_cut(z, y, weight) if 0 < y.sum() < len(y) else 0.0
     for k, lang in enumerate(LANGS):
         own = t.lang == k
         enough = min(y[own].sum(), own.sum() - y[own].sum()) >= least
-        m.cuts[lang] = _best_cut(z[own], y[own]) if enough else whole
+        m.cuts[lang] = _best_cut(z[own], y[own], weight[own]) if enough else whole
 
 
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS) -> DataFrame:

@@ -73,8 +73,12 @@ class Words:
         self.end = np.flatnonzero(inside & after) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.data, self.offsets = data, offsets
-        p = prefix(data.astype(U64) + U64(1))
-        self.hash = mix(spans(p, self.start, self.end) + (self.end - self.start).astype(U64))
+        self.p = prefix(data.astype(U64) + U64(1))
+        self.hash = self.cut(self.start, self.end)
+
+    def cut(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes [start, end)."""
+        return mix(spans(self.p, start, end) + (end - start).astype(U64))
 
 
 def chunks(texts: pa.Array, most: int = 1 << 21, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
