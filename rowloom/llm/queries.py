@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import decontaminate, embeddings, linededup, quality, simhash, toxicity
+from rowloom.llm import decontaminate, embeddings, linededup, mixing, pii, quality, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,35 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_urls"] = urls.oracle_sql()
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+ORACLES["op9_warc"] = """
+    with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+    q as (select *, max(page_id) over (partition by d) as top from p)
+    select page_id, n as payload_bytes, d as payload_digest, case when n < 1000 or page_id = top then 'response' else 'revisit' end as record_type,
+           case when n >= 1000 and page_id <> top then top end as refers_to
+    from q
+"""
