@@ -25,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm import store
+from rowloom.llm import sieve, store
 from rowloom.llm.words import U64, Words, chunks, mix, prefix, spans
 
 MIN_WORDS = 5
-#: Bits of the map of lines that may have a partner.
-MAP_BITS = 1 << 26
 LAST = (1 << 63) - 1
 
 
@@ -119,9 +117,8 @@ def _emit(docs: DataFrame, bit_map, min_words: int, bits: int) -> DataFrame:
             for i, data, off in chunks(b.column("text")):
                 x = Lines(data, off, min_words)
                 doc = ids[i + x.text]
-                bit = place(x.hash, doc, x.number, bits)
                 out, size = [], 0
-                for k in np.flatnonzero((may[bit >> 3] >> (bit & 7)) & 1):
+                for k in np.flatnonzero(sieve.among(place(x.hash, doc, x.number), may, bits)):
                     key = x.variants(k)
                     out.append((key, k))
                     size += len(key)
@@ -144,28 +141,21 @@ def _batch(x: Lines, doc: np.ndarray, out: list[tuple[np.ndarray, int]]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "kind", "doc_id", "line_no", "h"])
 
 
-def place(h: np.ndarray, doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(h ^ mix(doc.view(U64) * U64(31) + line.astype(np.int64).view(U64))) % U64(bits)).astype(np.int64)
+def place(h: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One long for a line and its position."""
+    return mix(h ^ mix(doc.view(U64) * U64(31) + line.astype(np.int64).view(U64))).view(np.int64)
 
 
-def _bit_map(suspects: DataFrame, bits: int) -> np.ndarray:
-    """Fixed-size map of the suspects' places, built on the executors in pieces of 4 KB."""
-
+def _places(suspects: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bit = place(b.column("h").to_numpy().view(U64), b.column("doc_id").to_numpy(), b.column("line_no").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
+            key = place(b.column("h").to_numpy().view(U64), b.column("doc_id").to_numpy(), b.column("line_no").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
 
-    at = suspects.select("h", "doc_id", "line_no").mapInArrow(run, "bit long").select((F.col("bit") + 1).alias("bit"))
-    pieces = at.groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in pieces.toLocalIterator():
-        part = np.frombuffer(bytes(r.m), np.uint8)
-        out[(r.n - 1) * len(part) : r.n * len(part)] = part[: len(out) - (r.n - 1) * len(part)]
-    return out
+    return suspects.select("h", "doc_id", "line_no").mapInArrow(run, "key long")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = sieve.BITS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): the lines to remove and the earliest near copy of each; line_no from 0."""
     spark = docs.sparkSession
     lines = store.keep(_scan(docs, min_words), "lines")
@@ -177,7 +167,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = M
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k")
     suspects = keys.join(shared, "k", "left_semi").select("h").distinct()
     suspects = ones.join(suspects, "h", "left_semi").select("h", "first.doc_id", "first.line_no")
-    bit_map = spark.sparkContext.broadcast(_bit_map(suspects, map_bits))
+    bit_map = spark.sparkContext.broadcast(sieve.bit_map(_places(suspects), map_bits))
     rows = store.keep(_emit(docs, bit_map, min_words, map_bits), "line-variants")
     least = rows.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, at)).alias("r"), F.min(F.when(F.col("kind") == 1, at)).alias("d"), F.min(F.when(F.col("kind") == 2, at)).alias("w")
@@ -199,7 +189,7 @@ def per_document(removed: DataFrame) -> DataFrame:
     return removed.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def clean(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+def clean(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = sieve.BITS) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all columns and rows stay."""
     gone = per_document(removed_lines(docs, min_words, map_bits)).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
     kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(__gone, i)), '\n')")
@@ -207,7 +197,7 @@ def clean(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = MAP_BITS)
     return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = MAP_BITS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = sieve.BITS) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): per row of ``docs`` its lines and the numbers of those removed."""
     gone = per_document(removed_lines(docs, min_words, map_bits)).withColumnRenamed("doc_id", "__id")
     n = F.expr("case when text is null then 0 else length(text) - length(replace(text, '\n', '')) + 1 end").cast("long")
