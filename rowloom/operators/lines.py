@@ -20,8 +20,9 @@ from rowloom.plans.options import Rules, UnresolvedError, UsageError
 #: A line with its terminator, which may be missing at the end of the text only.
 LINE = re.compile(r"([^\r\n]*)(\r\n|\r|\n)|([^\r\n]+)\Z")
 
-HUNK = "kind string, old_start long, old_len long, new_start long, new_len long, move_id int, move_peer long"
-RESULT = f"old_lines long, new_lines long, hunk_count long, omitted long, added long, deleted long, modified long, moved_blocks long, moved_lines long, moves_skipped boolean, hunks array<struct<{HUNK.replace(' ', ': ').replace(',:', ',')}>>"
+HUNK = "struct<kind: string, old_start: long, old_len: long, new_start: long, new_len: long, move_id: int, move_peer: long>"
+TOTALS = ("old_lines", "new_lines", "hunk_count", "omitted", "added", "deleted", "modified", "moved_blocks", "moved_lines")
+RESULT = f"struct<{', '.join(f'{t}: long' for t in TOTALS)}, moves_skipped: boolean, hunks: array<{HUNK}>>"
 
 
 @dataclass(frozen=True)
@@ -201,10 +202,10 @@ def diff_documents(pairs: DataFrame, options: LineOptions | None = None, old: st
     o = options or LineOptions()
     keep = [c for c in pairs.columns if c not in (old, new)]
 
-    @F.pandas_udf(f"struct<{RESULT.replace(' array', ': array').replace(' long', ': long').replace(' boolean', ': boolean')}>")
+    @F.pandas_udf(RESULT)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = [diff(split_lines(x), split_lines(y), o) for x, y in zip(a, b, strict=True)]
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in RESULT.split(", ") if not c.startswith(("old_start", "old_len", "new_start", "new_len", "move_id", "move_peer"))])
+        return pd.DataFrame(rows, columns=[*TOTALS, "moves_skipped", "hunks"])
 
     return pairs.select(*keep, run(F.col(old), F.col(new)).alias("d")).select(*keep, "d.*")
 

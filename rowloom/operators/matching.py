@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 
 def maximum_matching(near: np.ndarray) -> list[int]:
@@ -46,3 +49,38 @@ def least_change(cost: np.ndarray, most: int) -> list[int]:
         if out[i] < 0 and not used[j]:
             out[i], used[j] = j, True
     return out
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema, rows: int = 20_000) -> DataFrame:
+    """Deal ``df`` out by ``keys`` and hand ``run`` tables of whole groups, sorted by ``order``, with the place where each
+    group begins (and the end): many small groups share a call, a large one has its own."""
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) < rows:
+                continue
+            all_ = pd.concat(held, ignore_index=True)
+            cut = int(_starts(all_, keys)[-2])  # the last group may go on
+            if cut:
+                yield _call(all_.iloc[:cut].reset_index(drop=True))
+            held = [all_.iloc[cut:]]
+        if held:
+            all_ = pd.concat(held, ignore_index=True)
+            if len(all_):
+                yield _call(all_)
+
+    def _call(frame: pd.DataFrame) -> pd.DataFrame:
+        return run(frame, _starts(frame, keys))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
+
+
+def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(frame), bool)
+    new[:1] = True
+    for k in keys:
+        code = pd.factorize(frame[k], use_na_sentinel=False)[0]
+        new[1:] |= code[1:] != code[:-1]
+    return np.r_[np.flatnonzero(new), len(frame)]

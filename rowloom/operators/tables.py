@@ -135,26 +135,29 @@ class TableDiff:
         schema = T.StructType([*rows.schema.fields, T.StructField("eq_l", T.LongType()), T.StructField("eq_r", T.LongType())])
         compared, tolerance, keep = self.compared, self.tolerance, [f.name for f in schema.fields]
 
-        def match(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("place").reset_index(drop=True)
-            lrow = np.repeat(np.arange(len(group)), group["l"].to_numpy())
-            rrow = np.repeat(np.arange(len(group)), group["r"].to_numpy())
-            near = np.ones((len(lrow), len(rrow)), bool)
-            for i, c in enumerate(compared):
-                code = pd.factorize(group[f"v{i}"], use_na_sentinel=False)[0]
-                same = code[lrow][:, None] == code[rrow][None]
-                if c in tolerance:
-                    x = group[f"n{c}"].to_numpy(float)
-                    with np.errstate(invalid="ignore"):
-                        same |= np.abs(x[lrow][:, None] - x[rrow][None]) <= tolerance[c]
-                near &= same
-            partner = np.array(matching.maximum_matching(near), int)
-            met = partner >= 0
-            group["eq_l"] = np.bincount(lrow[met], minlength=len(group))
-            group["eq_r"] = np.bincount(rrow[partner[met]], minlength=len(group))
-            return group[keep]
-
-        done = many.groupBy(*self._k).applyInPandas(match, schema) if len(self._k) else many
+        def match(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            codes = [pd.factorize(frame[f"v{i}"], use_na_sentinel=False)[0] for i in range(len(compared))]
+            numbers = {c: frame[f"n{c}"].to_numpy(float) for c in tolerance}
+            l, r = frame["l"].to_numpy(), frame["r"].to_numpy()
+            eq = {"l": np.zeros(len(frame), np.int64), "r": np.zeros(len(frame), np.int64)}
+            for a, b in zip(starts, starts[1:], strict=False):
+                at = np.arange(a, b)
+                lrow, rrow = np.repeat(at, l[a:b]), np.repeat(at, r[a:b])
+                near = np.ones((len(lrow), len(rrow)), bool)
+                for c, code in zip(compared, codes, strict=True):
+                    same = code[lrow][:, None] == code[rrow][None]
+                    if c in tolerance:
+                        with np.errstate(invalid="ignore"):
+                            same |= np.abs(numbers[c][lrow][:, None] - numbers[c][rrow][None]) <= tolerance[c]
+                    near &= same
+                partner = np.array(matching.maximum_matching(near), int)
+                met = partner >= 0
+                np.add.at(eq["l"], lrow[met], 1)
+                np.add.at(eq["r"], rrow[partner[met]], 1)
+            frame["eq_l"], frame["eq_r"] = eq["l"], eq["r"]
+            return frame[keep]
+
+        done = matching.by_group(many, self._k, ["place"], match, schema)
         return alone.unionByName(single).unionByName(done).drop("nl", "nr")
 
     @cached_property
@@ -229,24 +232,29 @@ class TableDiff:
         limit = self.options.max_similarity_pairs
         schema = T.StructType([*[f for f in rows.select(*keys).schema.fields], T.StructField("side", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("pair", T.IntegerType())])
 
-        def pair(group: pd.DataFrame) -> pd.DataFrame:
-            l, r = (group[group["side"] == s].sort_values("at").reset_index(drop=True) for s in ("left", "right"))
-            cost = np.zeros((len(l), len(r)), np.int64)
-            if len(l) * len(r) <= limit:
-                for i in index:
-                    code = pd.factorize(pd.concat([l[f"v{i}"], r[f"v{i}"]]), use_na_sentinel=False)[0]
-                    differs = code[: len(l)][:, None] != code[len(l) :][None]
-                    if i in tol:
-                        with np.errstate(invalid="ignore"):
-                            differs &= ~(np.abs(l[f"n{i}"].to_numpy(float)[:, None] - r[f"n{i}"].to_numpy(float)[None]) <= tol[i])
-                    cost += differs
-            mate = matching.least_change(cost, limit)
-            l["pair"] = [j + 1 if j >= 0 else -(i + 1) for i, j in enumerate(mate)]
-            taken = set(mate)
-            r["pair"] = [j + 1 if j in taken else -(len(l) + j + 1) for j in range(len(r))]
-            return pd.concat([l, r])[[f.name for f in schema.fields]].astype({"at": "int32", "pair": "int32"})
-
-        found = rows.drop("row", "kind", "nl", "nr").groupBy(*keys).applyInPandas(pair, schema)
+        def pair(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            codes = {i: pd.factorize(frame[f"v{i}"], use_na_sentinel=False)[0] for i in index}
+            numbers = {i: frame[f"n{i}"].to_numpy(float) for i in tol}
+            left = (frame["side"] == "left").to_numpy()
+            out = np.zeros(len(frame), np.int32)
+            for a, b in zip(starts, starts[1:], strict=False):
+                l, r = a + np.flatnonzero(left[a:b]), a + np.flatnonzero(~left[a:b])
+                cost = np.zeros((len(l), len(r)), np.int64)
+                if len(l) * len(r) <= limit:
+                    for i in index:
+                        differs = codes[i][l][:, None] != codes[i][r][None]
+                        if i in tol:
+                            with np.errstate(invalid="ignore"):
+                                differs &= ~(np.abs(numbers[i][l][:, None] - numbers[i][r][None]) <= tol[i])
+                        cost += differs
+                mate = matching.least_change(cost, limit)
+                taken = set(mate)
+                out[l] = [j + 1 if j >= 0 else -(i + 1) for i, j in enumerate(mate)]
+                out[r] = [j + 1 if j in taken else -(len(l) + j + 1) for j in range(len(r))]
+            frame["pair"] = out
+            return frame[[f.name for f in schema.fields]]
+
+        found = matching.by_group(rows.drop("row", "kind", "nl", "nr"), keys, ["side", "at"], pair, schema)
         same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "side", "at"]]
         named = rows.alias("a").join(found.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.side", "a.row", "b.pair")
         return named.groupBy(*keys, "pair").agg(

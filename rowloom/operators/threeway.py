@@ -208,7 +208,14 @@ def _go_json(c):
 def _placed(base, rows):
     """``rows`` laid out over the base rows: equal ones keep their place, others fill the places of rows that went (null where
     a place stays empty), the rest follows."""
-    return _place_udf(base, rows)
+
+
+    @F.pandas_udf("array<array<string>>")
+    def run(base: pd.Series, rows: pd.Series) -> pd.Series:
+        plain = lambda v: [] if v is None else [list(r) for r in v]
+        return pd.Series([place(plain(b), plain(r)) for b, r in zip(base, rows, strict=True)])
+
+    return run(base, rows)
 
 
 def place(base: list, rows: list) -> list:
@@ -229,12 +236,6 @@ def place(base: list, rows: list) -> list:
     return [s if s is not None else next(spare, None) for s in slots] + list(spare)
 
 
-@F.pandas_udf("array<array<string>>")
-def _place_udf(base: pd.Series, rows: pd.Series) -> pd.Series:
-    plain = lambda v: [] if v is None else [list(r) for r in v]
-    return pd.Series([place(plain(b), plain(r)) for b, r in zip(base, rows, strict=True)])
-
-
 def _table_event(group: pd.DataFrame) -> pd.DataFrame:
     rows = [(of, bool(gone), tuple(row), at) for of, gone, row, at in group[["of", "removed", "row", "at"]].itertuples(index=False)]
     own = sorted([(at, r) for of, _, r, at in rows if of == "base"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,23 +17,23 @@ STATUSES = ("added", "removed", "changed", "same")
 MAX_ENTRIES = 2_000_000
 
 
-@F.pandas_udf("binary")
-def _plain(path, content):
+def _plain(path: Column, content: Column) -> Column:
     """Bytes as they are compared: gzip files by what they hold."""
-    import gzip
-    import zlib
 
-    import pandas as pd
+    @F.pandas_udf("binary")
+    def run(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([_unpacked(p, c) for p, c in zip(paths, contents, strict=True)])
+
+    return run(path, content)
 
-    def one(p, c):
-        if c is not None and p.lower().endswith(".gz"):
-            try:
-                return gzip.decompress(c)
-            except (OSError, EOFError, zlib.error):
-                return c
-        return c
 
-    return pd.Series([one(p, c) for p, c in zip(path, content, strict=True)])
+def _unpacked(path: str, content: bytes | None) -> bytes | None:
+    if content is not None and path.lower().endswith(".gz"):
+        try:
+            return gzip.decompress(content)
+        except (OSError, EOFError, zlib.error):
+            pass
+    return content
 
 
 def compare_trees(old: DataFrame, new: DataFrame, method: str = "contents", only: PathFilter | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
@@ -62,7 +66,7 @@ def compare_trees(old: DataFrame, new: DataFrame, method: str = "contents", only
         same = F.col("known")
     else:
         open_ = both.filter(here & there & F.col("known").isNull()).select("path")
-        digest = lambda d, s: d.join(open_, "path", "left_semi").select("path", F.sha2(F.when(gz, _plain("path", "content")).otherwise(F.col("content")), 256).alias(f"{s}_digest"))
+        digest = lambda d, s: d.join(open_, "path", "left_semi").select("path", F.sha2(F.when(gz, _plain(F.col("path"), F.col("content"))).otherwise(F.col("content")), 256).alias(f"{s}_digest"))
         read = digest(old, "old").join(digest(new, "new"), "path").select("path", (F.col("old_digest") == F.col("new_digest")).alias("equal"))
         both = both.join(read, "path", "left")
         same = F.coalesce("known", "equal")
