@@ -41,7 +41,7 @@ def detect(data: bytes, hint: str = "") -> str:
     if any(e in sample for e in (b"\x1b$B", b"\x1b$@", b"\x1b(J")):
         return "iso-2022-jp"
     zeros = (sample[0::2].count(0), sample[1::2].count(0))
-    if len(sample) >= 4 and max(zeros) * 5 >= len(sample) // 2 and min(zeros) * 4 <= max(zeros):
+    if len(sample) >= 4 and max(zeros) * 5 >= len(sample) and min(zeros) * 4 <= max(zeros):
         return "utf-16le" if zeros[1] > zeros[0] else "utf-16be"
     for cut in range(4):  # the sample may end inside a character
         try:
