@@ -55,6 +55,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that take little memory as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def compressor(raw: bytes) -> zstandard.ZstdCompressor:
     kind = zstandard.DICT_TYPE_AUTO if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     d = zstandard.ZstdCompressionDict(raw, dict_type=kind)
@@ -111,7 +118,7 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLA
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.value.scores(b.column("text").to_pylist()))], ["doc_id", "score"])
 
     d = store.columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -132,7 +139,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_cl
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(model.value.scores(b.column("text").to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -81,7 +81,7 @@ class Words:
         return mix(spans(self.p, start, end) + (end - start).astype(U64))
 
 
-def chunks(texts: pa.Array, most: int = 1 << 21, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, most: int = 1 << 18, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) of runs of whole texts of about ``most`` bytes; null is an empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
