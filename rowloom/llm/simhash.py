@@ -3,7 +3,7 @@
 Fingerprints are linked when at most ``radius`` of 64 bits differ. Correlated bits are grouped into partitions;
 a dynamic program allots partition i a threshold t_i >= -1 with sum(t_i) = radius - partitions + 1, so that any two
 linked fingerprints differ by at most t_i bits in some partition i. It minimises probes plus estimated candidates; the
-estimate is the distribution of distances inside each byte-sized block of bits, from counts over all fingerprints.
+estimate is the distribution of distances inside each block of four bits, from counts over all fingerprints.
 Fingerprints are dealt out by partition value, look into the buckets of the larger values within t_i, and are verified
 there; buckets return spanning edges, so a group of n near copies costs n rows and not n * n.
 
@@ -31,7 +31,7 @@ from rowloom.llm import buckets, sieve, store
 from rowloom.llm.components import connected_components
 from rowloom.llm.words import Words, chunks, mix, shingles
 
-BITS, BLOCK = 64, 8
+BITS, BLOCK = 64, 4
 #: Rows a bucket's block holds at most.
 MOST = 8192
 #: Cost of a dealt-out row in compared pairs, as measured: 1.9 microseconds for making, shuffling, sorting and handing over
@@ -98,7 +98,8 @@ def gather(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 
 
 def correlated_blocks(n: int, both: np.ndarray) -> list[list[int]]:
-    """Eight blocks of eight bits, each grown greedily around correlated bits. both: how often bits i and j are both set."""
+    """Blocks of ``BLOCK`` bits, each grown greedily around correlated bits, in an order in which correlated blocks are
+    neighbours. both: how often bits i and j are both set."""
     p = both / max(n, 1)
     one = np.diag(p)
     spread = np.sqrt(np.maximum(one * (1 - one), 1e-9))
@@ -107,7 +108,8 @@ def correlated_blocks(n: int, both: np.ndarray) -> list[list[int]]:
     left, out = set(range(BITS)), []
     while left:
         members = sorted(left)
-        block = [max(members, key=lambda b: (r[b, members].sum(), -b))]
+        last = out[-1] if out else members
+        block = [max(members, key=lambda b: (r[b, last].sum(), -b))]
         left.discard(block[0])
         while len(block) < BLOCK:
             block.append(max(sorted(left), key=lambda b: r[b, block].sum()))
@@ -117,10 +119,10 @@ def correlated_blocks(n: int, both: np.ndarray) -> list[list[int]]:
 
 
 def distances(counts: np.ndarray) -> np.ndarray:
-    """P(two rows differ in d bits of a block), d = 0..8, from the block's 256 counts: an autocorrelation under XOR."""
+    """P(two rows differ in d bits of a block), from the counts of its values: an autocorrelation under XOR."""
     f = counts / max(counts.sum(), 1)
-    weight = np.bitwise_count(np.arange(256))
-    v = np.arange(256)
+    v = np.arange(1 << BLOCK)
+    weight = np.bitwise_count(v)
     meet = np.array([(f * f[v ^ x]).sum() for x in v])
     return np.bincount(weight, weights=meet, minlength=BLOCK + 1)
 
@@ -134,31 +136,26 @@ def probes(width: int, t: int) -> float:
 
 
 def allot(n: int, blocks: list[list[int]], near: list[np.ndarray], radius: int) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold >= 0) of least estimated cost; those with threshold -1 are left out."""
-    best: tuple[float, list] = (np.inf, [])
-    for m in range(1, min(radius + 1, len(blocks)) + 1):
-        for cuts in combinations(range(1, len(blocks)), m - 1):
-            edge = [0, *cuts, len(blocks)]
-            parts = []
-            for a, b in zip(edge, edge[1:], strict=False):
-                d = np.ones(1)
-                for x in near[a:b]:
-                    d = np.convolve(d, x)
-                parts.append((sum(blocks[a:b], []), d))
-            # table[s]: least cost with thresholds that sum to s - m, over the partitions so far
-            budget = radius - m + 1
-            table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-            for bits, d in parts:
-                step: dict[int, tuple[float, tuple[int, ...]]] = {}
-                for used, (cost, ts) in table.items():
-                    for t in range(-1, radius + 1):
-                        c = 0.0 if t < 0 else n * probes(len(bits), t) * ROW_COST + 0.5 * n * n * d[: t + 1].sum()
-                        if used + t <= budget + m and (used + t not in step or cost + c < step[used + t][0]):
-                            step[used + t] = (cost + c, (*ts, t))
-                table = step
-            if budget in table and table[budget][0] < best[0]:
-                best = (table[budget][0], [(bits, t) for (bits, _), t in zip(parts, table[budget][1], strict=True) if t >= 0])
-    return best[1]
+    """Partitions (bits, threshold >= 0) of least estimated cost; those with threshold -1 are left out.
+
+    The thresholds must add up to radius - partitions + 1, that is t + 1 over all partitions to radius + 1, so one table
+    over (blocks used, sum of t + 1) serves any number of partitions: runs of blocks, each with its threshold.
+    """
+    end = len(blocks)
+    table: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(end + 1)]
+    table[0][0] = (0.0, ())
+    for a in range(end):
+        d = np.ones(1)
+        for b in range(a + 1, end + 1):
+            d = np.convolve(d, near[b - 1])
+            bits = sum(blocks[a:b], [])
+            for t in range(-1, radius + 1):
+                c = 0.0 if t < 0 else n * probes(len(bits), t) * ROW_COST + 0.5 * n * n * d[: t + 1].sum()
+                for used, (cost, parts) in table[a].items():
+                    to = used + t + 1
+                    if to <= radius + 1 and (to not in table[b] or cost + c < table[b][to][0]):
+                        table[b][to] = (cost + c, (*parts, (bits, t)))
+    return [(bits, t) for bits, t in table[end][radius + 1][1] if t >= 0]
 
 
 def plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
@@ -171,9 +168,9 @@ def plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
     blocks = correlated_blocks(n, pair)
 
     def values(fp: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(gather(fp, b).astype(np.int64), minlength=256) for b in blocks])
+        return np.concatenate([np.bincount(gather(fp, b).astype(np.int64), minlength=1 << BLOCK) for b in blocks])
 
-    hist = _counts(fps, values, 256 * len(blocks)).reshape(-1, 256)
+    hist = _counts(fps, values, len(blocks) << BLOCK).reshape(-1, 1 << BLOCK)
     return allot(n, blocks, [distances(h) for h in hist], radius)
 
 

@@ -76,14 +76,13 @@ def test_simhash_hard_rows(edge, nothing):
 
 @pytest.mark.parametrize("radius, n", [(4, 200), (4, 1 << 24), (6, 10_000), (0, 10)])
 def test_thresholds_obey_the_general_pigeonhole(radius, n):
-    blocks = [list(range(8 * i, 8 * i + 8)) for i in range(8)]
-    near = [simhash.distances(np.ones(256))] * 8
+    size = simhash.BLOCK
+    blocks = [list(range(i, i + size)) for i in range(0, 64, size)]
+    near = [simhash.distances(np.ones(1 << size))] * len(blocks)
     parts = simhash.allot(n, blocks, near, radius)
-    used = {b for bits, _ in parts for b in bits}
-    # partitions left out may differ in any number of bits; the others need more than their threshold to miss
-    rest = len(used) == 64
-    missed = sum(t + 1 for _, t in parts)
-    assert missed > radius and (rest or missed == radius + 1)
+    used = [b for bits, _ in parts for b in bits]
+    # to miss every partition a pair must differ in more than t bits of each
+    assert len(used) == len(set(used)) and sum(t + 1 for _, t in parts) == radius + 1
 
 
 def test_keep_one_against_brute_force(docs):
