@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from rowloom.functions import encode
 from rowloom.operators import lines as L
+from rowloom.operators import matching
 from rowloom.operators.tables import TableDiff
 from rowloom.plans.options import TableOptions, UnresolvedError, UsageError
 
@@ -121,7 +122,8 @@ class TableMerge:
     """Three-way comparison of keyed tables (text columns): the differences of either side to the base, by key.
 
     Events: left_only, right_only, same (both sides end in the same rows), merged (both change, but different base rows)
-    and conflict. Only the key groups that a side changed are brought together, one group a kernel call.
+    and conflict. Only the key groups that a side changed are brought together, many small groups a kernel call. Base rows
+    keep the order in which ``base`` is read; it should be read the same way twice, as files are.
     """
 
     POSITION = "__position"
@@ -159,7 +161,8 @@ class TableMerge:
         base = self._key(self.base, self.plan.key).join(keys, "key", "left_semi")
         base = base.select("key", F.lit("base").alias("of"), F.lit(False).alias("removed"), cells.alias("row"), F.col(self.POSITION).alias("at"))
         schema = "kind string, key array<string>, base array<array<string>>, left array<array<string>>, right array<array<string>>, combined array<array<string>>, positions array<long>"
-        out = base.unionByName(touched).groupBy("key").applyInPandas(_table_event, schema)
+        rows = base.unionByName(touched).withColumn("k", F.to_json("key"))
+        out = matching.by_group(rows, ["k"], [], _table_events, schema)
         json = F.concat(F.lit("["), F.array_join(F.transform("key", _go_json), ","), F.lit("]"))
         return out.withColumn("id", F.substring(F.sha2(F.encode(json, "UTF-8"), 256), 1, 32)).select("id", *out.columns)
 
@@ -236,8 +239,14 @@ def place(base: list, rows: list) -> list:
     return [s if s is not None else next(spare, None) for s in slots] + list(spare)
 
 
-def _table_event(group: pd.DataFrame) -> pd.DataFrame:
-    rows = [(of, bool(gone), tuple(row), at) for of, gone, row, at in group[["of", "removed", "row", "at"]].itertuples(index=False)]
+def _table_events(frame: pd.DataFrame, starts) -> pd.DataFrame:
+    keys = frame["key"].tolist()
+    rows = list(zip(frame["of"], frame["removed"].astype(bool), map(tuple, frame["row"]), frame["at"], strict=True))
+    out = [_table_event(list(keys[a]), rows[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    return pd.DataFrame(out, columns=["kind", "key", "base", "left", "right", "combined", "positions"])
+
+
+def _table_event(key: list, rows: list) -> list:
     own = sorted([(at, r) for of, _, r, at in rows if of == "base"])
     base = [r for _, r in own]
     length_first = lambda r: [(len(x.encode()), x) for x in r]
@@ -262,8 +271,7 @@ def _table_event(group: pd.DataFrame) -> pd.DataFrame:
     else:
         kind = "merged" if apart else "conflict"
     lay = lambda r: [list(x) for x in place(list(base), r) if x is not None]
-    row = [kind, list(group["key"].iloc[0]), [list(b) for b in base], lay(side["left"]), lay(side["right"]), lay(combined) if kind == "merged" else [], [int(at) for at, _ in own]]
-    return pd.DataFrame([row], columns=["kind", "key", "base", "left", "right", "combined", "positions"])
+    return [kind, key, [list(b) for b in base], lay(side["left"]), lay(side["right"]), lay(combined) if kind == "merged" else [], [int(at) for at, _ in own]]
 
 
 def _without(base: list, gone: Counter) -> list:
