@@ -156,6 +156,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item found in it, with its best window."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     d = store.columns(docs, "doc_id", "text")
     out = spark.createDataFrame([], LEAK)
     for rows in item_blocks(benchmark, block_bytes):
@@ -177,6 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (with a ``text`` column) without the rows in which an item was found; nothing is shuffled."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     for rows in item_blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(Items(rows, K, radius))
 

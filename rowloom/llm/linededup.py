@@ -158,6 +158,7 @@ def _places(suspects: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = sieve.BITS) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no): the lines to remove and the earliest near copy of each; line_no from 0."""
     spark = docs.sparkSession
+    store.small_batches(spark)
     lines = store.keep(_scan(docs, min_words), "lines")
     at = F.struct("doc_id", "line_no")
     ones = store.keep(
@@ -169,6 +170,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, map_bits: int = s
     suspects = ones.join(suspects, "h", "left_semi").select("h", "first.doc_id", "first.line_no")
     bit_map = spark.sparkContext.broadcast(sieve.bit_map(_places(suspects), map_bits))
     rows = store.keep(_emit(docs, bit_map, min_words, map_bits), "line-variants")
+    bit_map.destroy()
     least = rows.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, at)).alias("r"), F.min(F.when(F.col("kind") == 1, at)).alias("d"), F.min(F.when(F.col("kind") == 2, at)).alias("w")
     )

@@ -110,6 +110,7 @@ def fit(rows: list, calibrate: int = CALIBRATE) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS) -> Model:
+    store.small_batches(docs.sparkSession)
     return fit(labelled.sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class))
 
 

@@ -225,6 +225,7 @@ def buckets_key(value: np.ndarray, part: int) -> np.ndarray:
 
 def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, most: int = MOST) -> DataFrame:
     """(doc_id, fp long, component_id) of every row of ``docs`` (doc_id, text)."""
+    store.small_batches(docs.sparkSession)
     fps = store.keep(fingerprints(docs, k), "simhash-fp")
     reps = store.keep(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-rep")
     parts = connected_components(links(reps, radius, most))
@@ -280,6 +281,7 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     smallest of its group. Of repeated rows with one doc_id that is kept, all but one go if they are equal in words too;
     rows with a null doc_id stay.
     """
+    store.small_batches(docs.sparkSession)
     sig = store.keep(signatures(docs.filter("doc_id is not null"), k, rounds), "simhash-sig")
     fs = [f"f{i}" for i in range(rounds)]
     classes = store.keep(sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in fs]), "simhash-class")
@@ -296,6 +298,7 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     wanted = members.select(F.col("id").alias("key")).unionByName(members.select(F.col("component").alias("key")).distinct())
     found = spark.sparkContext.broadcast(sieve.bit_map(wanted))
     sets = store.keep(_shingle_sets(sieve.rows_in(store.columns(docs, "doc_id", "text"), found, True), k).dropDuplicates(["id"]), "simhash-sets")
+    found.destroy()
     own = members.join(sets, "id")
     top = sets.select(F.col("id").alias("component"), F.col("s").alias("t"))
     both = F.size(F.array_intersect("s", "t"))

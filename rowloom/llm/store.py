@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,3 +45,15 @@ def width(spark: SparkSession) -> int:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, cut off from any extra or clashing ones of the input."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+#: Rows and bytes of text that one Arrow batch hands to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which the defaults let grow to 10000 whole texts on either side of the pipe."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub("[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))

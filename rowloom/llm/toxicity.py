@@ -245,6 +245,7 @@ def _calibrate(m: Model, rows: list, least: int = 10) -> None:
 
 def scores(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    store.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(labelled.sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_class)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
