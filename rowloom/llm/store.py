@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, which the defaults let grow to 10000 whole texts on either side of the pipe."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub("[^0-9-]", "", spark.conf.get(key, "0")) or 0)
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
