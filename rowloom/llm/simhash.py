@@ -8,8 +8,10 @@ Fingerprints are dealt out by partition value, look into the buckets of the larg
 there; buckets return spanning edges, so a group of n near copies costs n rows and not n * n.
 
 ``keep_one`` is the filter for documents of a shingle similarity: a pair of similarity 0.8 differs in about 10 of 64 bits,
-further than a pigeonhole can look, so it takes ``rounds`` fingerprints by independent hashes, links documents within
-``radius`` in any of them, and verifies each member of a group by its exact Jaccard similarity to the one that stays.
+further than a pigeonhole can look. It takes ``rounds`` fingerprints by independent hashes and links documents within
+``radius`` in any of them; it also links documents that share one of ``BANDS`` min-wise keys of ``BAND`` hashes each, which
+a pair of similarity s misses with probability (1 - s ** BAND) ** BANDS: 0.04% at 0.8. Each member of a group is verified by
+its exact Jaccard similarity to the one that stays.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows are rows of their own
 with the same component; a null doc_id takes the component of its fingerprint (null if no row with an id has it);
@@ -234,10 +236,24 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, most: int =
 
 
 SALTS = [0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(16)]
+#: Min-wise keys of a document, and hashes that a key takes together.
+BANDS, BAND = 20, 5
+
+
+def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys: per band a hash of its number and of the least shingle hash of each text by BAND hashes."""
+    out = np.zeros((len(first), BANDS), np.uint64)
+    for i in range(BANDS):
+        key = np.full(len(first), i + 1, np.uint64)
+        for j in range(BAND):
+            salt = mix(np.array([0xD1B54A32D192ED03 * (i * BAND + j + 1) & (1 << 64) - 1], np.uint64))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(mix(h ^ salt), first))
+        out[:, i] = key
+    return out
 
 
 def signatures(docs: DataFrame, k: int, rounds: int) -> DataFrame:
-    """(doc_id, th, f0 .. f<rounds - 1>): th is a hash of the words, each f a SimHash of the shingles by another hash."""
+    """(doc_id, th, f0 .. f<rounds - 1>, bands): th is a hash of the words, each f a SimHash of the shingles by another hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,10 +268,12 @@ def signatures(docs: DataFrame, k: int, rounds: int) -> DataFrame:
                     ones = np.add.reduceat(_bits(mix(h ^ np.uint64(SALTS[r]))), np.minimum(first, max(len(h) - 1, 0)), axis=0, dtype=np.int32)
                     fp = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
                     cols.append(pa.array(np.where(size > 0, fp, 0).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                keys = pa.array(band_keys(h, first).view(np.int64).ravel())
+                cols.append(pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), keys))
+                yield pa.RecordBatch.from_arrays(cols, [*names, "bands"])
 
     names = ["doc_id", "th", *[f"f{i}" for i in range(rounds)]]
-    return store.columns(docs, "doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return store.columns(docs, "doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", bands array<long>")
 
 
 def _shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,13 +302,13 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     store.small_batches(docs.sparkSession)
     sig = store.keep(signatures(docs.filter("doc_id is not null"), k, rounds), "simhash-sig")
     fs = [f"f{i}" for i in range(rounds)]
-    classes = store.keep(sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in fs]), "simhash-class")
-    edges = None
+    classes = store.keep(sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in [*fs, "bands"]]), "simhash-class")
+    edges = _band_links(classes)
     for f in fs:
         reps = store.keep(classes.groupBy(F.col(f).alias("fp")).agg(F.min("rep").alias("rep")), "simhash-rep")
         same = classes.join(reps, classes[f] == reps.fp).select(classes["rep"].alias("a"), reps["rep"].alias("b")).filter("a <> b")
         found = links(reps, radius, most).unionByName(same)
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
     parts = store.keep(connected_components(edges.distinct()), "simhash-parts")
     # members' shingles meet those of the group's smallest document, a row each
     members = parts.filter("id <> component")
@@ -314,6 +332,13 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     return left
 
 
+def _band_links(classes: DataFrame) -> DataFrame:
+    """(a, b): each class and the smallest one that shares a min-wise key with it."""
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    least = keys.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
+    return keys.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
+
+
 def _one_of_repeated(docs: DataFrame, twice: DataFrame) -> DataFrame:
     found = docs.sparkSession.sparkContext.broadcast(sieve.bit_map(twice))
     return sieve.rows_in(docs, found, False).unionByName(sieve.rows_in(docs, found, True).dropDuplicates(["doc_id", "text"]))

@@ -176,3 +176,24 @@ def test_line_hard_rows(edge, nothing):
     assert out.columns == edge.columns and out.count() == 9
     assert {r.doc_id: r.text for r in out.collect()}[2] is None
     assert linededup.line_report(nothing).collect() == [] and linededup.removed_lines(nothing).collect() == []
+
+
+def alike(n, rng, share, size=300):
+    """Pairs of texts, one word in so many replaced, with their similarity: (texts 2i and 2i + 1, similarity of pair i)."""
+    out, sims = [], []
+    for i in range(n):
+        a = [f"p{i}w{rng.randrange(10**6)}" for _ in range(size)]
+        b = [f"{x}new" if rng.random() < share else x for x in a]
+        s, t = ({tuple(w[j : j + 5]) for j in range(size - 4)} for w in (a, b))
+        out += [" ".join(a), " ".join(b)]
+        sims.append(len(s & t) / len(s | t))
+    return out, sims
+
+
+def test_keep_one_finds_pairs_just_above_the_similarity(docs):
+    t, sims = alike(400, random.Random(11), 0.0215)
+    kept = {r.doc_id for r in simhash.keep_one(docs(list(enumerate(t)))).collect()}
+    band = [i for i, s in enumerate(sims) if 0.8 <= s < 0.86]
+    assert len(band) >= 100
+    assert sum(2 * i + 1 in kept for i in band) <= 0.01 * len(band)
+    assert all(2 * i in kept for i in range(400)) and all(2 * i + 1 in kept for i, s in enumerate(sims) if s < 0.8)
