@@ -10,8 +10,8 @@ there; buckets return spanning edges, so a group of n near copies costs n rows a
 ``keep_one`` is the filter for documents of a shingle similarity: a pair of similarity 0.8 differs in about 10 of 64 bits,
 further than a pigeonhole can look. It takes ``rounds`` fingerprints by independent hashes and links documents within
 ``radius`` in any of them; it also links documents that share one of ``BANDS`` min-wise keys of ``BAND`` hashes each, which
-a pair of similarity s misses with probability (1 - s ** BAND) ** BANDS: 0.04% at 0.8. Each member of a group is verified by
-its exact Jaccard similarity to the one that stays.
+a pair of similarity s misses with probability (1 - s ** BAND) ** BANDS: 0.04% at 0.8. The members of a group are verified by
+their exact Jaccard similarity to the smallest; those unlike it are a group again, until no two that are alike stay.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows are rows of their own
 with the same component; a null doc_id takes the component of its fingerprint (null if no row with an id has it);
@@ -295,8 +295,8 @@ def _shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 6, rounds: int = 4, most: int = MOST) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    A document goes if its words equal, or its shingles' Jaccard similarity is at least ``similarity`` to, those of the
-    smallest of its group. Of repeated rows with one doc_id that is kept, all but one go if they are equal in words too;
+    A document goes if its words equal, or its shingles' Jaccard similarity is at least ``similarity`` to, those of a
+    smaller one of its group that stays. Of repeated rows with one doc_id that is kept, all but one go if they are equal in words too;
     rows with a null doc_id stay.
     """
     store.small_batches(docs.sparkSession)
@@ -317,10 +317,7 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     found = spark.sparkContext.broadcast(sieve.bit_map(wanted))
     sets = store.keep(_shingle_sets(sieve.rows_in(store.columns(docs, "doc_id", "text"), found, True), k).dropDuplicates(["id"]), "simhash-sets")
     found.destroy()
-    own = members.join(sets, "id")
-    top = sets.select(F.col("id").alias("component"), F.col("s").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    near = own.join(top, "component").filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("id")
+    near = _near_kept(parts, sets, similarity, most)
     # copies of a class go with its smallest row, all but one row of those that stay
     gone = classes.join(near, classes.rep == near.id, "left").select("th", "rep", "n", F.col("id").isNotNull().alias("gone")).filter("gone or n > 1")
     out = sig.select("doc_id", "th").join(gone, "th").filter("gone or doc_id <> rep").select(F.col("doc_id").alias("key")).distinct()
@@ -332,6 +329,67 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     return left
 
 
+def _near_kept(parts: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """``parts``: (id, component). (id) of the members alike to a smaller one of their component that stays.
+
+    The smallest member of a component stays and takes those alike to it, by a join, a row each. The rest is a group again:
+    one of up to ``most`` members is finished inside a task, a larger one goes round with its smallest member.
+    """
+    rest, out = parts, None
+    while True:
+        top = sets.select(F.col("id").alias("component"), F.col("s").alias("t"))
+        both = F.size(F.array_intersect("s", "t"))
+        own = rest.filter("id <> component").join(sets, "id")
+        near = own.join(top, "component").filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("id")
+        near = store.keep(near, "simhash-near")
+        out = near if out is None else out.unionByName(near)
+        rest = rest.filter("id <> component").join(near, "id", "left_anti")
+        sizes = rest.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+        rest = store.keep(rest.join(sizes, "component").select("id", F.col("least").alias("component"), "n"), "simhash-rest")
+        out = out.unionByName(_near_in_groups(rest.filter(F.col("n") <= most), sets, similarity))
+        rest = rest.filter(F.col("n") > most).select("id", "component")
+        if not rest.limit(1).count():
+            return out
+
+
+def _near_in_groups(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in buckets.whole_groups(batches):
+            key, ids = buckets.column(t, "key"), buckets.column(t, "id")
+            s = t.column("s").combine_chunks()
+            at, h = s.offsets.to_numpy(), s.values.to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for a, b in zip(cut, np.r_[cut[1:], len(key)], strict=True):
+                gone = alike_to_kept(h[at[a] : at[b]], at[a : b + 1] - at[a], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][gone])], ["id"])
+
+    rows = rest.select("id", F.col("component").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j")).join(sets, "id")
+    return rows.repartition("key").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "id long")
+
+
+def alike_to_kept(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets h[at[i]:at[i + 1]] are alike to an earlier one that is not; by postings of each element."""
+    size = np.diff(at)
+    _, code = np.unique(h, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owner = np.repeat(np.arange(len(size)), size)[order]
+    first = np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+    gone = np.zeros(len(size), bool)
+    for i in range(len(size)):
+        if gone[i]:
+            continue
+        own = code[at[i] : at[i + 1]]
+        both = np.zeros(len(size), np.int64)
+        for a in range(0, len(own), 1 << 10):
+            part = own[a : a + (1 << 10)]
+            n = first[part + 1] - first[part]
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+            both += np.bincount(owner[where], minlength=len(size))
+        near = both >= similarity * (size[i] + size - both)
+        gone |= near & (np.arange(len(size)) > i)
+    return gone
+
+
 def _band_links(classes: DataFrame) -> DataFrame:
     """(a, b): each class and the smallest one that shares a min-wise key with it."""
     keys = classes.select("rep", F.explode("bands").alias("key"))

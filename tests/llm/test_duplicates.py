@@ -197,3 +197,31 @@ def test_keep_one_finds_pairs_just_above_the_similarity(docs):
     assert len(band) >= 100
     assert sum(2 * i + 1 in kept for i in band) <= 0.01 * len(band)
     assert all(2 * i in kept for i in range(400)) and all(2 * i + 1 in kept for i, s in enumerate(sims) if s < 0.8)
+
+
+@pytest.mark.parametrize("most", [8192, 2])
+def test_near_copies_that_hang_on_an_unlike_smallest(docs, spark, most):
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+
+    def edited(of, *at):
+        return [f"{x}at{len(at)}" if i in at else x for i, x in enumerate(of)]
+
+    a = edited(w, 10, 40, 70, 100, 130)
+    c = edited(w, 160, 190, 220, 250, 280)
+    # w links a and c, and d is nearly c; e is another one unlike all others
+    rows = [a, w, c, edited(c, 295), edited(w, 20, 50, 80, 110, 140, 170, 200), edited(c, 5)]
+    t = [" ".join(x) for x in rows]
+    sets = [{tuple(x[i : i + 5]) for i in range(296)} for x in rows]
+    sim = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert sim(0, 1) >= 0.8 and sim(1, 2) >= 0.8 and max(sim(0, i) for i in (2, 3, 5)) < 0.8 and sim(2, 3) >= 0.9
+    want = []
+    for i in range(6):
+        if all(sim(i, j) < 0.8 for j in want):
+            want.append(i)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(list(enumerate(t))), most=most).collect()) == want
+    # a false link: the smallest is like none
+    far = [" ".join(f"far{i}" for i in range(300)), *t[2:4]]
+    s = simhash._shingle_sets(docs(list(enumerate(far))), 5)
+    parts = spark.createDataFrame([(i, 0) for i in range(3)], "id long, component long")
+    assert [r.id for r in simhash._near_kept(parts, s, 0.8, most).collect()] == [2]
