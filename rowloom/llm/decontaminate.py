@@ -26,7 +26,7 @@ from rowloom.llm import store
 from rowloom.llm.words import LOWER, Words, chunks, shingles
 
 K, BLOCKS = 5, 8
-RADIUS = 16
+RADIUS = 23
 THRESHOLD = 0.8
 #: Bytes of item text in one block.
 BLOCK_BYTES = 4 << 20

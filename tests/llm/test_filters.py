@@ -126,6 +126,19 @@ def test_leaks_against_all_windows(spark, docs):
         assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_leaks_just_above_the_threshold(spark, docs):
+    rng = random.Random(5)
+    items = [[f"i{i}w{j}" for j in range(29)] for i in range(400)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = []
+    for i, w in enumerate(items):
+        at = rng.randrange(5, 24)  # one word changes five of 25 shingles: similarity 0.80
+        rows.append((i, " ".join(["before", *w[:at], "EDIT", *w[at + 1 :], "after"])))
+    got = decontaminate.find_leaks(docs(rows), bench).collect()
+    assert {r.similarity for r in got} == {0.8} and all(r.doc_id == r.item_id for r in got)
+    assert len(got) >= 0.99 * len(items)
+
+
 def test_leak_hard_rows(spark, edge, nothing):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.find_leaks(edge, bench).collect()) == [1, 6, 6]
