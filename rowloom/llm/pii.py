@@ -1,11 +1,10 @@
 """Personal data: fixed patterns, and terms that disclose them by what the corpus says, in DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They are the protected entities. The
-terms around an entity (words within ``REACH`` characters on its line side) are weighed by corpus co-occurrence: with n(e)
-and n(t) the documents that hold entity and term and n(e, t) those that hold the term beside the entity, of N in all, the
-term reveals the share log(N n(e, t) / (n(e) n(t))) / log(N / n(e)) of the entity's information. Terms beside an entity in
-``SUPPORT`` documents or more that reveal ``DISCLOSURE`` or more are spans of kind ``term``, in each place beside that
-entity. ``sanitise`` generalises base spans to their kind and removes terms. Counts are over all documents.
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They are the protected entities. Terms are words of two characters or more outside the base spans. They are
+weighed by corpus co-occurrence: with n(e), n(t) and n(e, t) the documents that hold the entity, the term and both, of N in
+all, the term reveals the share log(N n(e, t) / (n(e) n(t))) / log(N / n(e)) of the entity's information. Terms that are in
+``SUPPORT`` documents or more with an entity and reveal ``DISCLOSURE`` of it or more are spans of kind ``term`` in each place
+of every text, also where the entity is not written. Counts are over all documents.
 
 Patterns are read without backtracking into a run (possessive repeats, begun only where a run begins), so long texts take
 linear time. Positions are code points, end exclusive. Defined cases: null text is empty; a text without spans gives
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowloom.llm import store
 
@@ -29,7 +29,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH, SUPPORT, DISCLOSURE = 48, 3, 0.9
+SUPPORT, DISCLOSURE = 3, 0.9
 TERM = r"[\p{L}\p{N}_]++(?:['\u2019-][\p{L}\p{N}_]++)*+"
 
 
@@ -79,48 +79,50 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("base"))
 
 
-def _around(side: str) -> str:
-    """Terms beside the span s: (entity, term, start, end), from the text before or after it on its line."""
-    if side == "before":
-        piece = f"regexp_extract(substring(text, greatest(1, s.start - {REACH - 1}), least(s.start, {REACH})), '[^\\\\n]*$', 0)"
-        origin = f"s.start - length({piece})"
-    else:
-        piece = f"regexp_extract(substring(text, s.end + 1, {REACH}), '^[^\\\\n]*', 0)"
-        origin = "s.end"
-    pattern = TERM.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""transform({_TERMS.format(piece=piece, pattern=pattern)}, t ->
-        struct(concat(s.kind, ':', lower(s.text)) as entity, lower(t.text) as term, {origin} + t.start as start, {origin} + t.end as end))"""
+def _entities() -> Column:
+    """array<string>: the entities of a row's base spans."""
+    return F.expr("array_distinct(transform(base, s -> concat(s.kind, ':', lower(s.text))))")
 
 
-_TERMS = """aggregate(arrays_zip(regexp_extract_all({piece}, '{pattern}', 0), transform(split({piece}, '{pattern}', -1), g -> length(g))),
-    struct(0 as at, cast(array() as array<struct<start: int, end: int, text: string>>) as out),
-    (acc, x) -> if(x['0'] is null, acc, struct(acc.at + x['1'] + length(x['0']) as at,
-        array_append(acc.out, struct(acc.at + x['1'] as start, acc.at + x['1'] + length(x['0']) as end, x['0'] as text)) as out)), acc -> acc.out)"""
+def _places(rows: DataFrame) -> DataFrame:
+    """(row, term, start, end) of every term in ``rows`` (row, text): the pieces between terms and the terms alternate."""
+    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split("text", TERM, -1), F.length)
+    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+    each = rows.select("row", F.posexplode(zipped).alias("no", "x")).select("row", "no", "x.m", "x.gap")
+    end = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return each.select("row", F.lower("m").alias("term"), end.alias("end"), F.length("m").alias("n")).select("row", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, row, th, base, terms): arrays of spans of every row of ``docs``; row is a unique number, th the text's hash."""
-    spark = docs.sparkSession
-    d = store.columns(docs, "doc_id", "text")
-    based = base_spans(d)
-    beside = F.expr(f"array_distinct(flatten(transform(base, s -> concat({_around('before')}, {_around('after')}))))")
-    based = store.keep(
-        based.select("doc_id", F.xxhash64("text").alias("th"), "base", F.when(F.size("base") > 0, beside).alias("beside"), F.monotonically_increasing_id().alias("row")), "pii-base"
-    )
-    inside = "x -> not exists(base, s -> s.start < x.end and x.start < s.end) and length(x.term) > 1"
-    near = based.filter("beside is not null").select("row", F.explode(F.expr(f"filter(beside, {inside})")).alias("x")).select("row", "x.*")
-    near = store.keep(near, "pii-near")
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = store.keep(pairs, "pii-pairs")
-    entities = based.select(F.explode(F.expr("array_distinct(transform(base, s -> concat(s.kind, ':', lower(s.text))))")).alias("entity"))
-    n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    based = base_spans(docs).select("doc_id", "text", F.xxhash64("text").alias("th"), "base", F.monotonically_increasing_id().alias("row"))
+    based = store.keep(based, "pii-base")
+    # words outside the base spans: the text with a line feed for each span
+    outside = """aggregate(base, struct(0 as at, cast(array() as array<string>) as out), (acc, s) -> struct(greatest(acc.at, s.end) as at,
+        if(s.start < acc.at, acc.out, array_append(acc.out, substring(text, acc.at + 1, s.start - acc.at))) as out),
+        acc -> array_join(array_append(acc.out, substring(text, acc.at + 1)), '\n'))"""
+    plain = F.when(F.size("base") == 0, F.col("text")).otherwise(F.expr(outside))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
+    terms = based.select("row", F.explode(words).alias("term")).filter("length(term) > 1")
     total = based.count()
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / F.log(total / F.col("n_e"))
-    telling = pairs.join(n_e, "entity").join(n_t, "term").filter((F.col("n_e") < total) & (share >= disclosure)).select("entity", "term")
-    terms = near.join(telling, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    out = based.select("doc_id", "row", "th", "base").join(terms, "row", "left")
+    entities = based.filter("size(base) > 0").select("row", F.explode(_entities()).alias("entity"))
+    # n(e, t) can't exceed n(e)
+    n_e = store.keep(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < total)), "pii-entities")
+    held = store.keep(entities.join(n_e, "entity").select("row", "entity"), "pii-held")
+    beside = terms.join(held.select("row").distinct(), "row", "left_semi")
+    pairs = beside.join(held, "row").groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = store.keep(pairs, "pii-pairs")
+    n_t = terms.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
+    telling = store.keep(pairs.join(n_e, "entity").join(n_t, "term").filter(share >= disclosure).select("term").distinct(), "pii-telling")
+    told = terms.join(telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
+    told = store.keep(based.join(told, "row").select("row", "text", "base", "told"), "pii-told")
+    at = _places(told.select("row", "text")).join(telling, "term", "left_semi")
+    at = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("at"))
+    free = F.expr("filter(at, x -> not exists(base, s -> s.start < x.end and x.start < s.end))")
+    spans = told.select("row", "base").join(at, "row").select("row", free.alias("terms"))
+    out = based.select("doc_id", "row", "th", "base").join(spans, "row", "left")
     return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, end: int>>)")))
 
 

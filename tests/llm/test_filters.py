@@ -251,5 +251,19 @@ def test_disclosing_terms(docs):
     assert out[0] == "write to   at [email] about thing number0" and out[10] == text[10]
 
 
+def term_spans(frame, text):
+    return {r.doc_id: [text[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in frame.collect()}
+
+
+def test_terms_disclose_in_every_place_of_every_text(docs):
+    far = "and much more is said here in many a word, far beyond the reach of a line's side,"
+    rows = [(i, f"Zyx Qwert\n{far} {far}\nzq@mail.org about thing") for i in range(9)]
+    rows += [(20, f"ask zyx, {far}\nor Zyx")] + [(30 + i, f"{far} about thing with Bob") for i in range(60)]
+    got = term_spans(pii.report(docs(rows)), dict(rows))
+    assert all(got[i] == ["Zyx", "Qwert"] for i in range(9)) and got[20] == ["zyx", "Zyx"]
+    assert not any(got[30 + i] for i in range(60))
+    assert {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}[20] == f"ask , {far}\nor "
+
+
 def test_pii_hard_rows(edge):
     assert pii.report(edge).count() == 9 and pii.sanitise(edge).columns == edge.columns and pii.sanitise(edge).count() == 9
