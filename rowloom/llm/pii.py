@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and terms that disclose them by what the corpus says, in DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They are the protected entities. Terms are words of two characters or more outside the base spans. They are
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. They are the protected entities, and so
+is what many of them share (``SHARED``: an e-mail's domain, the first numbers of the others), as most data are in one document
+only and their terms can only be weighed together. Terms are words of two characters or more outside the base spans. They are
 weighed by corpus co-occurrence: with n(e), n(t) and n(e, t) the documents that hold the entity, the term and both, of N in
 all, the term reveals the share log(N n(e, t) / (n(e) n(t))) / log(N / n(e)) of the entity's information. Terms that are in
 ``SUPPORT`` documents or more with an entity and reveal ``DISCLOSURE`` of it or more are spans of kind ``term`` in each place
@@ -30,6 +32,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SUPPORT, DISCLOSURE = 3, 0.9
+#: What entities have in common, by kind: first group of the pattern in the lower-cased text.
+SHARED = {"email": "(@.*)$", "ip": r"^(.*\.)[^.]*$", "card": "^((?:[^0-9]*[0-9]){6})", "phone": r"^(\+(?:[^0-9]*[0-9]){6})"}
 TERM = r"[\p{L}\p{N}_]++(?:['\u2019-][\p{L}\p{N}_]++)*+"
 
 
@@ -80,8 +84,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _entities() -> Column:
-    """array<string>: the entities of a row's base spans."""
-    return F.expr("array_distinct(transform(base, s -> concat(s.kind, ':', lower(s.text))))")
+    """array<string>: the entities of a row's base spans, and what they share."""
+    own = "transform(base, s -> concat(s.kind, ':', lower(s.text)))"
+    esc = lambda p: p.replace("\\", "\\\\")
+    cases = " ".join(f"when '{k}' then regexp_extract(lower(s.text), '{esc(p)}', 1)" for k, p in SHARED.items())
+    return F.expr(f"array_distinct(concat({own}, transform(base, s -> concat('shared ', s.kind, ':', case s.kind {cases} end))))")
 
 
 def _places(rows: DataFrame) -> DataFrame:

@@ -265,5 +265,11 @@ def test_terms_disclose_in_every_place_of_every_text(docs):
     assert {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}[20] == f"ask , {far}\nor "
 
 
+def test_terms_of_data_that_are_in_one_text_each(docs):
+    rows = [(i, f"the Acmeco office has write{i}@acme.org at hand") for i in range(6)] + [(10 + i, f"the office is at hand, {i}") for i in range(60)]
+    got = term_spans(pii.report(docs(rows)), dict(rows))
+    assert all(set(got[i]) == {"Acmeco", "has"} for i in range(6)) and not any(got[10 + i] for i in range(60))
+
+
 def test_pii_hard_rows(edge):
     assert pii.report(edge).count() == 9 and pii.sanitise(edge).columns == edge.columns and pii.sanitise(edge).count() == 9
