@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowloom.llm import store
+from rowloom.llm import buckets, store
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -120,9 +120,11 @@ def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
     beside = terms.join(held.select("row").distinct(), "row", "left_semi")
     pairs = beside.join(held, "row").groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = store.keep(pairs, "pii-pairs")
-    n_t = terms.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
     telling = store.keep(pairs.join(n_e, "entity").join(n_t, "term").filter(share >= disclosure).select("term").distinct(), "pii-telling")
+    if telling.count() <= buckets.BROADCAST_KEYS:
+        telling = F.broadcast(telling)
     told = terms.join(telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
     told = store.keep(based.join(told, "row").select("row", "text", "base", "told"), "pii-told")
     at = _places(told.select("row", "text")).join(telling, "term", "left_semi")
