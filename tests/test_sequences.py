@@ -182,3 +182,12 @@ def test_render_formats():
     assert f"- {'b c':<26} | + b d" in render.side_by_side(p, q, r, total=1)
     assert '"hunks": [' in render.to_json(r) and "<del>c</del>" in render.html_report(p, q, r)
     assert render.hex_dump(binary.byte_diff(b"a", b"b")).startswith("@ 0x00000000\n  - 61\n  + 62\n")
+
+
+def test_line_diff_documents_holds_every_hunk(spark, tmp_path):
+    from rowloom import queries
+
+    text = "\n".join(f"line {i} of a long text" for i in range(3000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # every seventh line goes, with equal lines on either side
+    assert queries.line_diff_documents(spark, str(tmp_path)).count() >= 3000 // 7
