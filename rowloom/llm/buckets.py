@@ -1,6 +1,6 @@
 """Rows that meet under a key, compared inside the task that holds the key, in blocks of a bounded size.
 
-A bucket of more than ``most`` members is cut into k blocks and laid out as the cells (i, j), i <= j, of a grid, so
+A bucket of more than ``most`` members or lookers is cut into blocks of each and laid out as the cells (i, j) of a grid, so
 no task holds an unbounded group. Cells return spanning edges and counts: never the pairs themselves.
 """
 
@@ -13,32 +13,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.llm import store
+
 #: Hot keys are broadcast up to this number, joined by shuffle beyond it.
 BROADCAST_KEYS = 100_000
 
 
 def grid(rows: DataFrame, sizes: DataFrame, most: int, order: str) -> DataFrame:
     """``rows``: (key, role, ...), role 0 for a bucket's members and 1 for those that only look into it;
-    ``sizes``: (key, n) members per key. Adds (i, j) and deals the rows out by (key, i, j), sorted.
+    ``sizes``: (key, n, lookers), members and lookers of each key that may have many. Adds (i, j) and deals the rows out by
+    (key, i, j), sorted.
+
+    k blocks of members meet each other in the cells (i, j), i <= j < k, and each block of lookers in a cell (i, j), j >= k.
     """
-    hot = sizes.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("k"))
+    blocks = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / most).cast("int")
+    hot = store.keep(sizes.filter((F.col("n") > most) | (F.col("lookers") > most)).select("key", blocks("n").alias("k"), blocks("lookers").alias("l")), "hot")
     n_hot = hot.count()
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
-        b = F.expr(f"cast(pmod(xxhash64({order}), k) as int)")
+        b = lambda c: f"cast(pmod(xxhash64({order}), {c}) as int)"
         cells = (
             F.when(F.col("k").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), "role")))
-            .when(F.col("role") == 1, F.expr("transform(sequence(0, k - 1), x -> struct(x as i, x as j, 1 as role))"))
+            .when(F.col("role") == 1, F.expr(f"transform(sequence(0, k - 1), x -> struct(x as i, k + {b('l')} as j, 1 as role))"))
             .otherwise(
-                F.transform(
-                    F.expr("sequence(0, k - 1)"),
-                    lambda x: F.struct(
-                        F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), F.when(x < b, 1).otherwise(0).alias("role")
-                    ),
+                F.expr(
+                    f"""concat(transform(sequence(0, k - 1), x -> struct(least(x, {b('k')}) as i, greatest(x, {b('k')}) as j, if(x < {b('k')}, 1, 0) as role)),
+                    transform(sequence(0, l - 1), x -> struct({b('k')} as i, k + x as j, 0 as role)))"""
                 )
             )
         )
-        rest = [c for c in rows.columns if c not in ("role", "k")]
+        rest = [c for c in rows.columns if c not in ("role", "k", "l")]
         rows = rows.withColumn("cell", F.explode(cells)).select(*rest, "cell.role", "cell.i", "cell.j")
     else:
         rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})

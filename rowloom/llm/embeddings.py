@@ -118,7 +118,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
     rows = classes.select("rep", F.col("label").cast("long").alias("label"), "m", "embedding").mapInArrow(
         deal, "key long, role int, tab int, rep long, label long, m long, code long, vec binary"
     )
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("lookers"))
     met = store.keep(buckets.grid(rows, sizes, most, "rep").mapInArrow(meet, "id long, links long, root long"), "itq-met")
     parts = connected_components(met.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
     links = met.groupBy("id").agg(F.sum("links").alias("links"))

@@ -1,4 +1,8 @@
-"""Bit maps of ids, of a fixed size, that tell most rows of a large table that a join has nothing for them."""
+"""Bit maps of ids that tell most rows of a large table that a join has nothing for them.
+
+A map has ``PER_KEY`` bits for each key, so that few rows pass by chance, and at most ``MOST_BITS`` in all, as it is
+broadcast; beyond that many keys there is no map, and the joins that it would have spared take all rows.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.words import U64, mix
 
-#: Bits of a map: 8 MB.
-BITS = 1 << 26
+PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+
 
+def bits_for(n: int) -> int | None:
+    """Bits of a map of n keys, a power of two; None if it would be too large."""
+    bits = max(LEAST_BITS, 1 << (PER_KEY * n - 1).bit_length())
+    return bits if bits <= MOST_BITS else None
 
-def places(key: np.ndarray, bits: int = BITS) -> np.ndarray:
+
+def places(key: np.ndarray, bits: int) -> np.ndarray:
     return (mix(key.view(U64) ^ U64(0x5BF03635)) % U64(bits)).astype(np.int64)
 
 
-def bit_map(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
     """Map of the places of ``keys`` (one long column ``key``), put together on the executors in pieces of 4 KB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,27 +45,42 @@ def bit_map(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def among(key: np.ndarray, found: np.ndarray, bits: int = BITS) -> np.ndarray:
+def broadcast(spark: SparkSession, keys: DataFrame):
+    """A broadcast map of ``keys`` (one long column ``key``), or None if there are too many."""
+    bits = bits_for(keys.count())
+    return spark.sparkContext.broadcast(bit_map(keys, bits)) if bits else None
+
+
+def destroy(found) -> None:
+    if found is not None:
+        found.destroy()
+
+
+def among(key: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Whether a key may be in the map; no key of the map is missed."""
-    bit = places(key, bits)
+    bit = places(key, 8 * len(found))
     return ((found[bit >> 3] >> (bit & 7)) & 1).astype(bool)
 
 
-def rows_in(docs: DataFrame, found, inside: bool) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be (``inside``), or is not, among the keys of a broadcast map; null ids are not."""
+def rows_in(docs: DataFrame, found, inside: bool, column: str) -> DataFrame:
+    """Rows of ``docs`` whose id in ``column`` may be (``inside``), or is not, among the keys of a broadcast map; null ids are
+    not. Without a map any id may be."""
+    if found is None:
+        has = F.col(f"`{column}`").isNotNull()
+        return docs.filter(has if inside else ~has)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
+            ids = b.column(column)
             hit = among(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), found.value) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit == inside))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (key); only rows that the map can't clear are shuffled."""
-    found = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
-    rest = rows_in(docs, found, True)
-    match: Column = rest["doc_id"] == ids["key"]
-    return rows_in(docs, found, False).unionByName(rest.join(ids, match, "left_anti"))
+def without(docs: DataFrame, gone: DataFrame, place: list[Column]) -> DataFrame:
+    """``docs`` without the rows whose ``place`` (columns d and x, of doc_id and text) is in ``gone`` (d, x); only rows that
+    the map can't clear are shuffled."""
+    found = broadcast(docs.sparkSession, gone.select(F.col("d").alias("key")))
+    held = rows_in(docs, found, True, "doc_id").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *place)
+    return rows_in(docs, found, False, "doc_id").unionByName(held.join(gone, ["d", "x"], "left_anti").select("row.*"))

@@ -2,7 +2,8 @@
 
 Fingerprints are linked when at most ``radius`` of 64 bits differ. Correlated bits are grouped into partitions;
 a dynamic program allots partition i a threshold t_i >= -1 with sum(t_i) = radius - partitions + 1, so that any two
-linked fingerprints differ by at most t_i bits in some partition i. It minimises probes plus estimated candidates; the
+linked fingerprints differ by at most t_i bits in some partition i. Of all allotments that deal out at most ``ROWS`` rows a
+fingerprint, whatever the size of the corpus, it takes the one with the fewest estimated candidates; the
 estimate is the distribution of distances inside each block of four bits, from counts over all fingerprints.
 Fingerprints are dealt out by partition value, look into the buckets of the larger values within t_i, and are verified
 there; buckets return spanning edges, so a group of n near copies costs n rows and not n * n.
@@ -10,23 +11,27 @@ there; buckets return spanning edges, so a group of n near copies costs n rows a
 ``keep_one`` is the filter for documents of a shingle similarity: a pair of similarity 0.8 differs in about 10 of 64 bits,
 further than a pigeonhole can look. It takes ``rounds`` fingerprints by independent hashes and links documents within
 ``radius`` in any of them; it also links documents that share one of ``BANDS`` min-wise keys of ``BAND`` hashes each, which
-a pair of similarity s misses with probability (1 - s ** BAND) ** BANDS: 0.04% at 0.8. The members of a group are verified by
+a pair of similarity s misses with probability (1 - s ** BAND) ** BANDS: 0.04% at 0.8. A link counts only if at most
+``FAR`` of 256 SimHash bits differ (about 39 do at 0.8, with a spread of 6). The members of a group are verified by
 their exact Jaccard similarity to the smallest; those unlike it are a group again, until no two that are alike stay.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; repeated rows are rows of their own
 with the same component; a null doc_id takes the component of its fingerprint (null if no row with an id has it);
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored. ``keep_one`` tells rows apart by doc_id and text, so
+rows that share a doc_id but not the text are documents of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from hashlib import blake2b
+from itertools import combinations, pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.llm import buckets, sieve, store
@@ -34,11 +39,10 @@ from rowloom.llm.components import connected_components
 from rowloom.llm.words import Words, chunks, mix, shingles
 
 BITS, BLOCK = 64, 4
-#: Rows a bucket's block holds at most.
+#: Members or lookers that a bucket's cell holds at most.
 MOST = 8192
-#: Cost of a dealt-out row in compared pairs, as measured: 1.9 microseconds for making, shuffling, sorting and handing over
-#: a row, 28 nanoseconds for a pair.
-ROW_COST = 70.0
+#: Rows that a fingerprint is dealt out to at most, whatever the size of the corpus.
+ROWS = 32
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
@@ -73,18 +77,21 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
 
 
 def _counts(fps: DataFrame, of, size: int) -> np.ndarray:
-    """Sum over all fingerprints of an array of ``size`` numbers; only those sums reach the driver."""
+    """Sums over all fingerprints (fp) of each round (r) of an array of ``size`` numbers; only those sums reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            total += of(b.column("fp").to_numpy().view(np.uint64))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    out = np.zeros(size, np.int64)
-    for r in fps.select("fp").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r.at] = r.n
+            r, fp = b.column("r").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            for k in np.unique(r).tolist():
+                total[k] = total.get(k, 0) + of(fp[r == k], k)
+        for k, t in total.items():
+            at = np.flatnonzero(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(t[at])], ["r", "at", "n"])
+
+    out = np.zeros((ROUNDS, size), np.int64)
+    for x in fps.select("r", "fp").mapInArrow(run, "r int, at long, n long").groupBy("r", "at").agg(F.sum("n").alias("n")).collect():
+        out[x.r, x.at] = x.n
     return out
 
 
@@ -130,50 +137,57 @@ def distances(counts: np.ndarray) -> np.ndarray:
 
 
 def probes(width: int, t: int) -> float:
-    total, c = 0.0, 1.0
-    for d in range(1, t + 1):
-        c = c * (width - d + 1) / d
-        total += c
-    return 1 + total / 2  # a pair is looked for from its smaller value only
+    """Rows of a fingerprint in a partition: its own bucket and the larger values within t bits, half of all on average."""
+    return (1 + sum(comb(width, d) for d in range(t + 1))) / 2
 
 
-def allot(n: int, blocks: list[list[int]], near: list[np.ndarray], radius: int) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold >= 0) of least estimated cost; those with threshold -1 are left out.
+def allot(blocks: list[list[int]], near: list[np.ndarray], radius: int, rows: int = ROWS) -> list[tuple[list[int], int]]:
+    """Partitions (bits, threshold >= 0) with the fewest estimated candidates of those that deal out at most ``rows`` rows;
+    partitions with threshold -1 are left out.
 
     The thresholds must add up to radius - partitions + 1, that is t + 1 over all partitions to radius + 1, so one table
-    over (blocks used, sum of t + 1) serves any number of partitions: runs of blocks, each with its threshold.
+    over (blocks used, sum of t + 1, rows in halves) serves any number of partitions: runs of blocks, each with its threshold.
+    A radius that no allotment of so many rows reaches gets twice as many.
     """
-    end = len(blocks)
-    table: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(end + 1)]
-    table[0][0] = (0.0, ())
+    end, most = len(blocks), 2 * rows
+    table: list[dict[tuple[int, int], tuple[float, tuple]]] = [{} for _ in range(end + 1)]
+    table[0][0, 0] = (0.0, ())
     for a in range(end):
         d = np.ones(1)
         for b in range(a + 1, end + 1):
             d = np.convolve(d, near[b - 1])
             bits = sum(blocks[a:b], [])
             for t in range(-1, radius + 1):
-                c = 0.0 if t < 0 else n * probes(len(bits), t) * ROW_COST + 0.5 * n * n * d[: t + 1].sum()
-                for used, (cost, parts) in table[a].items():
-                    to = used + t + 1
-                    if to <= radius + 1 and (to not in table[b] or cost + c < table[b][to][0]):
+                more = 0 if t < 0 else int(2 * probes(len(bits), t))
+                if more > most:
+                    break
+                c = 0.0 if t < 0 else float(d[: t + 1].sum())
+                for (used, dealt), (cost, parts) in table[a].items():
+                    to = (used + t + 1, dealt + more)
+                    if to[0] <= radius + 1 and to[1] <= most and (to not in table[b] or cost + c < table[b][to][0]):
                         table[b][to] = (cost + c, (*parts, (bits, t)))
-    return [(bits, t) for bits, t in table[end][radius + 1][1] if t >= 0]
+    done = [(cost, dealt, parts) for (used, dealt), (cost, parts) in table[end].items() if used == radius + 1]
+    if not done:
+        return allot(blocks, near, radius, 2 * rows)
+    return [(bits, t) for bits, t in min(done)[2] if t >= 0]
+
 
+def plan(fps: DataFrame, radius: int) -> dict[int, list[tuple[list[int], int]]]:
+    """The partitions of each round r of ``fps`` (r, fp)."""
 
-def plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
-    def both(fp: np.ndarray) -> np.ndarray:
+    def both(fp: np.ndarray, _: int) -> np.ndarray:
         b = _bits(fp).astype(np.float32)
         return (b.T @ b).astype(np.int64).ravel()
 
-    pair = _counts(fps, both, BITS * BITS).reshape(BITS, BITS)
-    n = fps.count()
-    blocks = correlated_blocks(n, pair)
+    n = {x.r: x.n for x in fps.groupBy("r").agg(F.count("*").alias("n")).collect()}
+    pair = _counts(fps, both, BITS * BITS).reshape(ROUNDS, BITS, BITS)
+    blocks = {r: correlated_blocks(k, pair[r]) for r, k in n.items()}
 
-    def values(fp: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(gather(fp, b).astype(np.int64), minlength=1 << BLOCK) for b in blocks])
+    def values(fp: np.ndarray, r: int) -> np.ndarray:
+        return np.concatenate([np.bincount(gather(fp, b).astype(np.int64), minlength=1 << BLOCK) for b in blocks[r]])
 
-    hist = _counts(fps, values, len(blocks) << BLOCK).reshape(-1, 1 << BLOCK)
-    return allot(n, blocks, [distances(h) for h in hist], radius)
+    hist = _counts(fps, values, (BITS // BLOCK) << BLOCK).reshape(ROUNDS, -1, 1 << BLOCK)
+    return {r: allot(b, [distances(h) for h in hist[r]], radius) for r, b in blocks.items()}
 
 
 def _masks(width: int, t: int) -> list[int]:
@@ -181,29 +195,48 @@ def _masks(width: int, t: int) -> list[int]:
 
 
 def links(reps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
-    """``reps``: (fp, rep), one row per fingerprint. Spanning edges (a, b) over rep of the graph of fingerprints at most
-    ``radius`` bits apart."""
+    """``reps``: (r, fp, rep), one row per fingerprint of a round. Spanning edges (a, b) over rep of the graph of fingerprints
+    of one round at most ``radius`` bits apart; all rounds are dealt out at once."""
     parts = plan(reps, radius)
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
-            for k, (bits, _) in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(buckets_key(gather(fp, bits), k))], ["key"])
+            for at in range(0, b.num_rows, 1 << 14):
+                s = b.slice(at, 1 << 14)
+                r = s.column("r").to_numpy()
+                for k in np.unique(r).tolist():
+                    yield k, s.filter(pa.array(r == k))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, s in rounds(batches):
+            fp, rep = s.column("fp").to_numpy(), s.column("rep").to_numpy()
+            for i, (bits, t) in enumerate(parts[k]):
+                own = gather(fp.view(np.uint64), bits)
+                for mask in [0, *_masks(len(bits), t)]:
+                    to = own ^ np.uint64(mask)
+                    pick = slice(None) if not mask else to > own
+                    key = buckets_key(to[pick], k << 6 | i)
+                    role = np.full(len(key), int(mask > 0), np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, role, fp[pick], rep[pick])], ["key", "role", "fp", "rep"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, s in rounds(batches):
+            fp = s.column("fp").to_numpy().view(np.uint64)
+            for i, (bits, _) in enumerate(parts[k]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k << 6 | i, np.int32)), pa.array(gather(fp, bits).view(np.int64))], ["part", "value"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1 << 14):
-                s = b.slice(at, 1 << 14)
-                fp, rep = s.column("fp").to_numpy(), s.column("rep").to_numpy()
-                for k, (bits, t) in enumerate(parts):
-                    own = gather(fp.view(np.uint64), bits)
-                    for mask in [0, *_masks(len(bits), t)]:
-                        to = own ^ np.uint64(mask)
-                        pick = slice(None) if not mask else to > own
-                        key = buckets_key(to[pick], k)
-                        role = np.full(len(key), int(mask > 0), np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, role, fp[pick], rep[pick])], ["key", "role", "fp", "rep"])
+            part, value, n = (b.column(c).to_numpy() for c in ("part", "value", "n"))
+            for k in np.unique(part).tolist():
+                own, m = value[part == k].view(np.uint64), n[part == k]
+                bits, t = parts[k >> 6][k & 63]
+                for mask in [0, *_masks(len(bits), t)]:
+                    to = own ^ np.uint64(mask)
+                    pick = slice(None) if not mask else to > own
+                    key, none = buckets_key(to[pick], k), np.zeros(len(m[pick]), np.int64)
+                    cols = [key, none if mask else m, m[pick] if mask else none]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "n", "lookers"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buckets.whole_groups(batches):
@@ -215,14 +248,17 @@ def links(reps: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
             a, b = forest.edges()
             yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
 
-    rows = reps.select("fp", "rep").mapInArrow(deal, "key long, role int, fp long, rep long")
-    sizes = reps.select("fp").mapInArrow(members, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    return buckets.grid(rows, sizes, most, "fp").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
+    dealt = reps.select("r", "fp", "rep").mapInArrow(deal, "key long, role int, fp long, rep long")
+    sizes = reps.select("r", "fp").mapInArrow(members, "part int, value long").groupBy("part", "value").agg(F.count("*").alias("n"))
+    # buckets of fewer members can't send more lookers than a cell holds
+    large = sizes.filter(F.col("n") > most // 128).mapInArrow(spread, "key long, n long, lookers long")
+    large = large.groupBy("key").agg(F.sum("n").alias("n"), F.sum("lookers").alias("lookers"))
+    return buckets.grid(dealt, large, most, "fp").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
 
 
 def buckets_key(value: np.ndarray, part: int) -> np.ndarray:
-    """One long for a partition and its value; bits, where a partition has more than 60, are mixed (a meeting is verified anyway)."""
-    return mix(value * np.uint64(8) + np.uint64(part) + np.uint64(1)).view(np.int64)
+    """One long for a partition and its value; the bits are mixed, as a meeting is verified anyway."""
+    return mix(value ^ mix(np.array([part + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
 def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, most: int = MOST) -> DataFrame:
@@ -230,187 +266,270 @@ def simhash_components(docs: DataFrame, k: int = 4, radius: int = 4, most: int =
     store.small_batches(docs.sparkSession)
     fps = store.keep(fingerprints(docs, k), "simhash-fp")
     reps = store.keep(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-rep")
-    parts = connected_components(links(reps, radius, most))
+    parts = connected_components(links(reps.withColumn("r", F.lit(0)), radius, most))
     named = reps.join(parts, reps.rep == parts.id, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-SALTS = [0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(16)]
+#: Independent SimHashes of a document, of which the first ``rounds`` are searched and all tell whether a link can be true.
+ROUNDS = 4
+SALTS = [0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1 for i in range(ROUNDS)]
+#: Bits of ROUNDS * 64 that two documents of a link may differ in.
+FAR = 62
 #: Min-wise keys of a document, and hashes that a key takes together.
 BANDS, BAND = 20, 5
+#: Shingles of a group that one task holds, members of a group that one cell compares with a block of kept ones.
+ELEMENTS, CELL = 1 << 22, 8192
+
+
+def _pieces(first: np.ndarray, n: int, piece: int = 1 << 16) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Pieces of n shingles: those in it, the texts they are of, and where each text's begin in it."""
+    for a in range(0, n, piece):
+        b = min(a + piece, n)
+        i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b, "left")
+        yield slice(a, b), slice(i, j), np.maximum(first[i:j], a) - a
 
 
 def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys: per band a hash of its number and of the least shingle hash of each text by BAND hashes."""
+    salts = [mix(np.array([0xD1B54A32D192ED03 * (i + 1) & (1 << 64) - 1], np.uint64)) for i in range(BANDS * BAND)]
+    least = np.full((BANDS * BAND, len(first)), (1 << 64) - 1, np.uint64)
+    for part, texts, at in _pieces(first, len(h)):
+        for i, salt in enumerate(salts):
+            least[i, texts] = np.minimum(least[i, texts], np.minimum.reduceat(mix(h[part] ^ salt), at))
     out = np.zeros((len(first), BANDS), np.uint64)
     for i in range(BANDS):
         key = np.full(len(first), i + 1, np.uint64)
         for j in range(BAND):
-            salt = mix(np.array([0xD1B54A32D192ED03 * (i * BAND + j + 1) & (1 << 64) - 1], np.uint64))
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(mix(h ^ salt), first))
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[i * BAND + j])
         out[:, i] = key
     return out
 
 
-def signatures(docs: DataFrame, k: int, rounds: int) -> DataFrame:
-    """(doc_id, th, f0 .. f<rounds - 1>, bands): th is a hash of the words, each f a SimHash of the shingles by another hash."""
+def place_of() -> list[Column]:
+    """A row of documents is told by its doc_id and a hash of its text; equal rows are one."""
+    return [F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("x")]
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """(d, x, th, f0 .. f3, bands) of ``docs`` (d, x, text): th is a hash of the words, each f a SimHash of the shingles by another hash."""
+    names = ["d", "x", "th", *[f"f{i}" for i in range(ROUNDS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
             for i, data, off in chunks(b.column("text")):
                 w = Words(data, off)
                 size = np.diff(w.first)
-                th, h, first = _shingles_of(w, k)
-                cols = [ids.slice(i, len(size)), pa.array(th.view(np.int64))]
+                h, first = shingles_of(w, k)
+                cols = [b.column("d").slice(i, len(size)), b.column("x").slice(i, len(size)), pa.array(words_digest(data, off))]
                 n = np.diff(np.r_[first, len(h)])
-                for r in range(rounds):
-                    ones = np.add.reduceat(_bits(mix(h ^ np.uint64(SALTS[r]))), np.minimum(first, max(len(h) - 1, 0)), axis=0, dtype=np.int32)
-                    fp = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+                for r in range(ROUNDS):
+                    fp = np.packbits(ones_of(mix(h ^ np.uint64(SALTS[r])), first) * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
                     cols.append(pa.array(np.where(size > 0, fp, 0).view(np.int64)))
                 keys = pa.array(band_keys(h, first).view(np.int64).ravel())
                 cols.append(pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32), keys))
                 yield pa.RecordBatch.from_arrays(cols, [*names, "bands"])
 
-    names = ["doc_id", "th", *[f"f{i}" for i in range(rounds)]]
-    return store.columns(docs, "doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", bands array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", bands array<long>")
 
 
-def _shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of all words of each text; hashes of the shingles of all texts, and where each text's begin. A text of fewer
-    than k words has one shingle, one without words a zero."""
-    from rowloom.llm.words import prefix, spans
+def words_digest(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words of each text, as long."""
+    out = [int.from_bytes(blake2b(b" ".join(data[a:b].tobytes().split()), digest_size=8).digest(), "little", signed=True) for a, b in pairwise(offsets.tolist())]
+    return np.array(out, np.int64)
+
+
+def ones_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, 64): how often each bit is set among the hashes of each text."""
+    out = np.zeros((len(first), BITS), np.int64)
+    for part, texts, at in _pieces(first, len(h)):
+        out[texts] += np.add.reduceat(_bits(h[part]), at, axis=0, dtype=np.int64)
+    return out
+
 
+def shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and where each text's begin. A text of fewer than k words has one shingle, one
+    without words a zero."""
     size = np.diff(w.first)
-    p = prefix(w.hash)
-    th = mix(spans(p, w.first[:-1], w.first[1:]) + size.astype(np.uint64))
     count = np.maximum(size - k + 1, 1)
     first = np.cumsum(count) - count
-    text = np.repeat(np.arange(len(size)), count)
-    start = np.arange(len(text)) - first[text] + w.first[:-1][text]
-    end = np.minimum(start + k, w.first[1:][text])
-    return th, np.where(size[text] > 0, mix(spans(p, start, end) + (end - start).astype(np.uint64)), 0), first
+    out = np.zeros(int(count.sum()), np.uint64)
+    for n in range(1, k + 1):
+        own = np.flatnonzero(size == n) if n < k else np.flatnonzero(size >= k)
+        c = count[own]
+        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        out[np.repeat(first[own], c) + within] = shingles(w, n, np.repeat(w.first[:-1][own], c) + within)
+    return out, first
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 6, rounds: int = 4, most: int = MOST) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 6, rounds: int = 2, most: int = MOST, elements: int = ELEMENTS) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     A document goes if its words equal, or its shingles' Jaccard similarity is at least ``similarity`` to, those of a
-    smaller one of its group that stays. Of repeated rows with one doc_id that is kept, all but one go if they are equal in words too;
-    rows with a null doc_id stay.
+    smaller one of its group that stays. Of equal rows that are kept all but one go; rows with a null doc_id stay.
     """
-    store.small_batches(docs.sparkSession)
-    sig = store.keep(signatures(docs.filter("doc_id is not null"), k, rounds), "simhash-sig")
-    fs = [f"f{i}" for i in range(rounds)]
-    classes = store.keep(sig.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in [*fs, "bands"]]), "simhash-class")
-    edges = _band_links(classes)
-    for f in fs:
-        reps = store.keep(classes.groupBy(F.col(f).alias("fp")).agg(F.min("rep").alias("rep")), "simhash-rep")
-        same = classes.join(reps, classes[f] == reps.fp).select(classes["rep"].alias("a"), reps["rep"].alias("b")).filter("a <> b")
-        found = links(reps, radius, most).unionByName(same)
-        edges = edges.unionByName(found)
-    parts = store.keep(connected_components(edges.distinct()), "simhash-parts")
-    # members' shingles meet those of the group's smallest document, a row each
-    members = parts.filter("id <> component")
     spark = docs.sparkSession
-    wanted = members.select(F.col("id").alias("key")).unionByName(members.select(F.col("component").alias("key")).distinct())
-    found = spark.sparkContext.broadcast(sieve.bit_map(wanted))
-    sets = store.keep(_shingle_sets(sieve.rows_in(store.columns(docs, "doc_id", "text"), found, True), k).dropDuplicates(["id"]), "simhash-sets")
-    found.destroy()
-    near = _near_kept(parts, sets, similarity, most)
+    store.small_batches(spark)
+    placed = store.columns(docs, "doc_id", "text").select(*place_of(), "text").filter("d is not null")
+    sig = store.keep(signatures(placed, k), "simhash-sig")
+    fs = [f"f{i}" for i in range(ROUNDS)]
+    place = F.struct("d", "x")
+    classes = store.keep(
+        sig.groupBy("th").agg(F.min(place).alias("place"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in [*fs, "bands"]]), "simhash-class"
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.col(f).alias("fp")) for i, f in enumerate(fs[:rounds])]))
+    own = classes.select("th", each.alias("e")).select("e.r", "e.fp", "th")
+    reps = store.keep(own.groupBy("r", "fp").agg(F.min("th").alias("rep")), "simhash-rep")
+    same = own.join(reps, ["r", "fp"]).select(F.col("th").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    edges = _not_far(links(reps, radius, most).unionByName(same).distinct(), classes, fs)
+    edges = store.keep(edges.unionByName(_band_links(classes, fs, most)).distinct(), "simhash-edges")
+    parts = connected_components(edges).join(classes.select(F.col("th").alias("id"), "place"), "id").select("id", "component", "place.d", "place.x")
+    parts = store.keep(parts, "simhash-parts")
+    # shingle sets of the groups' members, a row each
+    found = sieve.broadcast(spark, parts.select(F.col("d").alias("key")))
+    wanted = sieve.rows_in(placed, found, True, "d").dropDuplicates(["d", "x"]).join(parts.select("d", "x", "id"), ["d", "x"]).select("id", "text")
+    sets = store.keep(_shingle_sets(wanted, k), "simhash-sets")
+    sieve.destroy(found)
+    near = _near_kept(parts, sets, similarity, elements)
     # copies of a class go with its smallest row, all but one row of those that stay
-    gone = classes.join(near, classes.rep == near.id, "left").select("th", "rep", "n", F.col("id").isNotNull().alias("gone")).filter("gone or n > 1")
-    out = sig.select("doc_id", "th").join(gone, "th").filter("gone or doc_id <> rep").select(F.col("doc_id").alias("key")).distinct()
-    twice = sig.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("key")).distinct()
-    out = store.keep(out, "simhash-gone")
-    left = sieve.without(docs, out)
+    fate = classes.join(near, classes.th == near.id, "left").select("th", "place", "n", F.col("id").isNotNull().alias("gone")).filter("gone or n > 1")
+    out = sig.select("d", "x", "th").join(fate, "th").select("d", "x", (F.col("gone") | (place != F.col("place"))).alias("gone"), "n")
+    twice = sig.groupBy("d", "x").agg(F.count("*").alias("c")).filter("c > 1").select("d", "x")
+    out = store.keep(out.filter("gone").select("d", "x").distinct(), "simhash-gone")
+    left = sieve.without(docs, out, place_of())
     if twice.limit(1).count():
         left = _one_of_repeated(left, store.keep(twice, "simhash-twice"))
     return left
 
 
-def _near_kept(parts: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
-    """``parts``: (id, component). (id) of the members alike to a smaller one of their component that stays.
+def _far(a: list[Column], b: list[Column]) -> Column:
+    """Bits in which the SimHashes in columns a and b differ."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _not_far(edges: DataFrame, classes: DataFrame, fs: list[str]) -> DataFrame:
+    """The edges (a, b) whose ends differ in at most FAR bits."""
+    one = classes.select(F.col("th").alias("a"), F.array(*fs).alias("fa"))
+    two = classes.select(F.col("th").alias("b"), F.array(*fs).alias("fb"))
+    fa, fb = ([F.col(c)[i] for i in range(ROUNDS)] for c in ("fa", "fb"))
+    return edges.join(one, "a").join(two, "b").filter(_far(fa, fb) <= FAR).select("a", "b")
+
+
+def _band_links(classes: DataFrame, fs: list[str], most: int) -> DataFrame:
+    """Spanning edges (a, b), in each min-wise key's bucket, of the classes that differ in at most FAR bits."""
+    keys = classes.select("th", F.explode("bands").alias("key"))
+    sizes = store.keep(keys.groupBy("key").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("lookers")).filter("n > 1"), "simhash-keys")
+    rows = keys.join(sizes.select("key"), "key", "left_semi").join(classes.select("th", *fs), "th")
+    rows = rows.select("key", F.lit(0).alias("role"), F.col("th").alias("rep"), *fs)
 
-    The smallest member of a component stays and takes those alike to it, by a join, a row each. The rest is a group again:
-    one of up to ``most`` members is finished inside a task, a larger one goes round with its smallest member.
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in buckets.whole_groups(batches):
+            rep, f = buckets.column(t, "rep"), [buckets.column(t, c).view(np.uint64) for c in fs]
+            forest = buckets.Forest(len(rep))
+            for a, b in buckets.pairs(*buckets.ranges(t), 1 << 19):
+                far = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int16) for x in f)
+                forest.union(a[far <= FAR], b[far <= FAR])
+            a, b = forest.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    return buckets.grid(rows, sizes, most, "rep").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
+
+
+def _near_kept(parts: DataFrame, sets: DataFrame, similarity: float, elements: int = ELEMENTS, block: int = 64) -> DataFrame:
+    """``parts``: (id, component, d, x), ``sets``: (id, n, s). (id) of the members alike to a smaller one, by (d, x), of their
+    component that stays.
+
+    A component of up to ``elements`` shingles is finished inside a task. Of a larger one the smallest ``block`` members
+    are; then cells of its other members meet those of them that stay, and the rest is a group again, with a block twice as large.
     """
-    rest, out = parts, None
+    rest = store.keep(parts.join(sets.select("id", "n"), "id"), "simhash-rest")
+    out = None
     while True:
-        top = sets.select(F.col("id").alias("component"), F.col("s").alias("t"))
-        both = F.size(F.array_intersect("s", "t"))
-        own = rest.filter("id <> component").join(sets, "id")
-        near = own.join(top, "component").filter(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select("id")
-        near = store.keep(near, "simhash-near")
+        groups = rest.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("m")).filter("m > 1")
+        small = rest.join(groups.filter(F.col("total") <= elements), "component").select(*parts.columns)
+        near = store.keep(_near_in_groups(small.withColumn("i", F.lit(0)).withColumn("role", F.lit(0)), sets, similarity), "simhash-near")
         out = near if out is None else out.unionByName(near)
-        rest = rest.filter("id <> component").join(near, "id", "left_anti")
-        sizes = rest.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-        rest = store.keep(rest.join(sizes, "component").select("id", F.col("least").alias("component"), "n"), "simhash-rest")
-        out = out.unionByName(_near_in_groups(rest.filter(F.col("n") <= most), sets, similarity))
-        rest = rest.filter(F.col("n") > most).select("id", "component")
+        cells = F.greatest(F.ceil(F.col("total") / elements), F.ceil(F.col("m") / CELL)).cast("int").alias("cells")
+        rest = store.keep(rest.join(groups.filter(F.col("total") > elements).select("component", cells), "component"), "simhash-rest")
         if not rest.limit(1).count():
             return out
+        # the smallest of each cell's smallest
+        cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+        rest = rest.withColumn("i", cell)
+        first = rest.withColumn("at", F.row_number().over(Window.partitionBy("component", "i").orderBy("d", "x"))).filter(F.col("at") <= block)
+        first = first.withColumn("at", F.row_number().over(Window.partitionBy("component").orderBy("d", "x"))).filter(F.col("at") <= block)
+        first = store.keep(first.select(*parts.columns, "cells"), "simhash-first")
+        near = store.keep(_near_in_groups(first.select(*parts.columns, F.lit(0).alias("i"), F.lit(0).alias("role")), sets, similarity), "simhash-near")
+        out = out.unionByName(near)
+        stay = first.join(near, "id", "left_anti")
+        stay = stay.select(*parts.columns, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("i"), F.lit(0).alias("role"))
+        others = rest.join(first.select("id"), "id", "left_anti")
+        both = stay.unionByName(others.select(*parts.columns, "i", F.lit(1).alias("role")))
+        near = store.keep(_near_in_groups(both, sets, similarity), "simhash-near")
+        out = out.unionByName(near)
+        rest = store.keep(others.join(near, "id", "left_anti").select(*parts.columns, "n"), "simhash-rest")
+        block = min(2 * block, CELL // 2)
+
+
+def _near_in_groups(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``rows``: (id, component, d, x, i, role), a group for each (component, i). (id) of the rows alike to an earlier row of
+    role 0 that is alike to none."""
 
-
-def _near_in_groups(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buckets.whole_groups(batches):
-            key, ids = buckets.column(t, "key"), buckets.column(t, "id")
+        for t in buckets.whole_groups(batches, 256):
+            key, i, ids, role = (buckets.column(t, c) for c in ("key", "i", "id", "role"))
             s = t.column("s").combine_chunks()
             at, h = s.offsets.to_numpy(), s.values.to_numpy()
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1])])
             for a, b in zip(cut, np.r_[cut[1:], len(key)], strict=True):
-                gone = alike_to_kept(h[at[a] : at[b]], at[a : b + 1] - at[a], similarity)
+                gone = alike_to_kept(h[at[a] : at[b]], at[a : b + 1] - at[a], similarity, int((role[a:b] == 0).sum()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][gone])], ["id"])
 
-    rows = rest.select("id", F.col("component").alias("key"), F.lit(0).alias("i"), F.lit(0).alias("j")).join(sets, "id")
-    return rows.repartition("key").sortWithinPartitions("key", "i", "j", "id").mapInArrow(run, "id long")
+    rows = rows.select("id", F.col("component").alias("key"), "i", F.lit(0).alias("j"), "role", "d", "x").join(sets.select("id", "s"), "id")
+    return rows.repartition("key", "i").sortWithinPartitions("key", "i", "j", "role", "d", "x").mapInArrow(run, "id long")
 
 
-def alike_to_kept(h: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the sets h[at[i]:at[i + 1]] are alike to an earlier one that is not; by postings of each element."""
+def alike_to_kept(h: np.ndarray, at: np.ndarray, similarity: float, first: int | None = None) -> np.ndarray:
+    """Which of the sets h[at[i]:at[i + 1]] are alike to an earlier one, of the ``first`` (all by default), that is not; by
+    postings of each element."""
     size = np.diff(at)
     _, code = np.unique(h, return_inverse=True)
     order = np.argsort(code, kind="stable")
     owner = np.repeat(np.arange(len(size)), size)[order]
-    first = np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
+    post = np.searchsorted(code[order], np.arange(code.max(initial=-1) + 2))
     gone = np.zeros(len(size), bool)
-    for i in range(len(size)):
+    for i in range(len(size) if first is None else first):
         if gone[i]:
             continue
         own = code[at[i] : at[i + 1]]
         both = np.zeros(len(size), np.int64)
         for a in range(0, len(own), 1 << 10):
             part = own[a : a + (1 << 10)]
-            n = first[part + 1] - first[part]
-            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+            n = post[part + 1] - post[part]
+            where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(post[part], n)
             both += np.bincount(owner[where], minlength=len(size))
         near = both >= similarity * (size[i] + size - both)
         gone |= near & (np.arange(len(size)) > i)
     return gone
 
 
-def _band_links(classes: DataFrame) -> DataFrame:
-    """(a, b): each class and the smallest one that shares a min-wise key with it."""
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    least = keys.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
-    return keys.join(least, "key").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
-
-
 def _one_of_repeated(docs: DataFrame, twice: DataFrame) -> DataFrame:
-    found = docs.sparkSession.sparkContext.broadcast(sieve.bit_map(twice))
-    return sieve.rows_in(docs, found, False).unionByName(sieve.rows_in(docs, found, True).dropDuplicates(["doc_id", "text"]))
+    found = sieve.broadcast(docs.sparkSession, twice.select(F.col("d").alias("key")))
+    rest = sieve.rows_in(docs, found, True, "doc_id").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *place_of())
+    both = rest.join(twice.withColumn("again", F.lit(True)), ["d", "x"], "left")
+    one = both.filter("again").dropDuplicates(["d", "x"]).unionByName(both.filter("again is null")).select("row.*")
+    return sieve.rows_in(docs, found, False, "doc_id").unionByName(one)
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, s): the distinct shingle hashes of each document."""
+    """(id, n, s): the distinct shingle hashes of each of ``docs`` (id, text), and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
             for i, data, off in chunks(b.column("text")):
-                _, h, first = _shingles_of(Words(data, off), k)
+                h, first = shingles_of(Words(data, off), k)
                 sets = [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+                cols = [b.column("id").slice(i, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(run, "id long, n long, s array<long>")

@@ -1,7 +1,8 @@
-"""Words, lines and rolling hashes of a batch of texts, as numpy arrays over one byte buffer.
+"""Words and rolling hashes of a batch of texts, as numpy arrays over one byte buffer.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials modulo 2**64 over the bytes of a word
-(and over the hashes of the words of a span), so the hash of any span is one subtraction and one product.
+(and over the hashes of the words of a span), so the hash of any span is one subtraction and one product. Bytes are taken
+in pieces of ``PIECE``: beside the texts themselves memory goes to three numbers a word.
 """
 
 from __future__ import annotations
@@ -23,16 +24,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes that are hashed together; powers of the base are kept for so many places.
+PIECE = 1 << 18
+
+
+def _table(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, BASE, U64), np.full(size, BASE_INV, U64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
 
 
+@cache
+def _kept() -> tuple[np.ndarray, np.ndarray]:
+    return _table(PIECE + 2)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**k and BASE**-k modulo 2**64 for k < n at least."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _kept() if n <= PIECE + 2 else _table(n)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,31 +63,49 @@ def spans(p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return (p[e] - p[s]) * down[s]
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each of the spans [start, end), which are in order."""
+    out = np.zeros(len(start), U64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + PIECE, "right"))
+        if j <= i:  # a span longer than a piece
+            for at in range(a, int(end[i]), PIECE):
+                part = prefix(data[at : min(at + PIECE, int(end[i]))].astype(U64) + U64(1))[-1:]
+                out[i : i + 1] += part * U64(pow(BASE, at - a, 1 << 64))
+            i += 1
+            continue
+        p = prefix(data[a : int(end[j - 1])].astype(U64) + U64(1))
+        out[i:j] = spans(p, start[i:j] - a, end[i:j] - a)
+        i = j
+    return mix(out + (end - start).astype(U64))
+
+
 class Words:
-    """Words of some texts: byte start and end, text index, 64-bit hash; first[i]:first[i+1] are text i's words."""
+    """Words of some texts: byte start and end, 64-bit hash; first[i]:first[i+1] are text i's words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         """data: lower-cased bytes of all texts; offsets: where each text begins, and the end."""
-        n = len(data)
-        inside = ~SPACE[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.ones(n, bool)
-        if n:
-            before[1:] = ~inside[:-1] | edge[1:n]
-        self.start = np.flatnonzero(inside & before)
-        after = np.ones(n, bool)
-        if n:
-            after[:-1] = ~inside[1:] | edge[1:n]
-        self.end = np.flatnonzero(inside & after) + 1
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        size = 16 * PIECE
+        for a in range(0, len(data), size):
+            b = min(a + size, len(data))
+            # inside[i] tells of byte a - 1 + i, so that a piece sees the byte on either side
+            inside = ~SPACE[np.r_[np.uint8(32) if a == 0 else data[a - 1], data[a:b], data[b] if b < len(data) else np.uint8(32)]]
+            edge = np.zeros(b - a + 1, bool)
+            edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+            own = inside[1:-1]
+            starts.append(np.flatnonzero(own & (~inside[:-2] | edge[:-1])) + a)
+            ends.append(np.flatnonzero(own & (~inside[2:] | edge[1:])) + a + 1)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
         self.first = np.searchsorted(self.start, offsets)
         self.data, self.offsets = data, offsets
-        self.p = prefix(data.astype(U64) + U64(1))
         self.hash = self.cut(self.start, self.end)
 
     def cut(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes [start, end)."""
-        return mix(spans(self.p, start, end) + (end - start).astype(U64))
+        return byte_hashes(self.data, start, end)
 
 
 def chunks(texts: pa.Array, most: int = 1 << 18, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -101,6 +128,13 @@ def chunks(texts: pa.Array, most: int = 1 << 18, lower: bool = True) -> Iterator
 
 def shingles(words: Words, k: int, at: np.ndarray | None = None) -> np.ndarray:
     """Hash of the k words from each word on (from those in ``at``), whatever text they end in; the caller keeps to one text."""
-    p = prefix(words.hash)
-    s = np.arange(max(0, len(words.hash) - k + 1)) if at is None else at
-    return mix(spans(p, s, s + k) + U64(k))
+    h = words.hash
+    if at is None:
+        n = max(0, len(h) - k + 1)
+        parts = (h[j : j + n] for j in range(k))
+    else:
+        n, parts = len(at), (h[at + j] for j in range(k))
+    out, up = np.full(n, k, U64), _kept()[0]
+    for j, part in enumerate(parts):
+        out += part * up[j]
+    return mix(out)
