@@ -21,6 +21,21 @@ def row(cols: Sequence[Column]) -> Column:
     return F.concat(*[field(c) for c in cols]) if cols else F.unhex(F.lit(""))
 
 
+def decode(data: Column, fields: int) -> Column:
+    """array<string>: the fields of an encoded row, the reverse of ``row``; null if the bytes are cut short or go on."""
+    number = lambda at: F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("int")
+
+    def step(acc: Column, _: Column) -> Column:
+        n = number(acc["at"])
+        one = F.decode(F.substring(data, acc["at"] + 4, n), "UTF-8")
+        fits = acc["at"] + 3 + n <= F.octet_length(data)
+        return F.struct((acc["at"] + 4 + n).alias("at"), F.when(fits, F.array_append(acc["out"], one)).alias("out"))
+
+    start = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    done = lambda acc: F.when(acc["at"] == F.octet_length(data) + 1, acc["out"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(fields)), start, step, done)
+
+
 def difference_id(kind: Column, key: Column, old: Column | None, new: Column | None) -> Column:
     """First 32 hex digits of SHA-256 over kind, key and the row or rows of a difference; ``old`` and ``new`` are null for
     a side that the difference lacks."""

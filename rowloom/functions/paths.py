@@ -26,8 +26,8 @@ def base(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """With its dot, lower case; empty if there is none."""
-    return F.lower(F.regexp_extract(base(path), r"(\.[^.]*)$", 1))
+    """With its dot, as it is written; empty if there is none."""
+    return F.regexp_extract(base(path), r"(?s)(\.[^.]*)$", 1)
 
 
 def depth(path: Column) -> Column:
@@ -38,6 +38,27 @@ def hidden(path: Column) -> Column:
     return path.rlike(r"(^|/)\.")
 
 
+_RANGE = re.compile(r"(?s)(?:\\(.)|([^\\\]-]))(?:-(?:\\(.)|([^\\\]-])))?")
+
+
+def _class(seg: str, i: int) -> tuple[str, int] | None:
+    """The class that begins behind the bracket at i, as a regular expression, and the place of its end. A circumflex negates,
+    a backslash quotes; None if it is malformed."""
+    negated = seg.startswith("^", i + 1)
+    at, ranges = i + 1 + negated, ""
+    while not (seg.startswith("]", at) and at > i + 1 + negated):
+        m = _RANGE.match(seg, at)
+        if not m:
+            return None
+        lo = m[1] or m[2]
+        hi = m[3] or m[4] or lo
+        ranges += f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}" if lo <= hi else ""
+        at = m.end()
+    if not ranges:
+        return ("(?s:.)" if negated else "(?!)"), at
+    return f"[{'^' if negated else ''}{ranges}]", at
+
+
 def glob_regex(glob: str) -> str | None:
     """A glob as an anchored regular expression; ``**`` as a segment spans any depth. None if it is malformed."""
     parts = []
@@ -57,12 +78,11 @@ def glob_regex(glob: str) -> str | None:
             elif c == "?":
                 out += "[^/]"
             elif c == "[":
-                end = seg.find("]", i + 2)
-                if end < 0:
+                found = _class(seg, i)
+                if not found:
                     return None
-                body = seg[i + 1 : end]
-                out += "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
-                i = end
+                out += found[0]
+                i = found[1]
             elif c == "\\":
                 if i + 1 == len(seg):
                     return None
@@ -211,7 +231,7 @@ class _Filter:
         else:
             if op not in ("==", "!="):
                 raise UsageError(f"{op} does not order text")
-            v = F.lit(value.lower() if name == "ext" else value)
+            v = F.lit(value)
         return {"<": c < v, "<=": c <= v, "==": c == v, "!=": c != v, ">": c > v, ">=": c >= v}[op]
 
 

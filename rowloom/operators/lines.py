@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import normalize
@@ -259,6 +259,45 @@ def merge_lines(old: list[str], new: list[str], hunks: Sequence[dict], choices:
     return out + old[at:]
 
 
+def merge_documents(pairs: DataFrame, choices: str | None = None, default: str | None = None, options: LineOptions | None = None, old: str = "old", new: str = "new") -> DataFrame:
+    """``pairs`` with ``merged``, the text that the chosen sides of the hunks give, each line with its own terminator.
+
+    ``choices`` names a map<int, string> column, left or right by hunk number; ``default`` serves hunks without a choice, and
+    an open hunk is an error when the plan runs. Every hunk is compared, whatever ``max_hunks``.
+    """
+    o = replace(options or LineOptions(), max_hunks=1 << 62, moves=False)
+    if default not in (None, "left", "right"):
+        raise UsageError("the default choice is left or right")
+    keep = [c for c in pairs.columns if c not in (old, new, choices)]
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series, b: pd.Series, picked: pd.Series) -> pd.Series:
+        out = []
+        for x, y, pick in zip(a, b, picked, strict=True):
+            p, q, own = split_lines(x), split_lines(y), dict(pick) if pick is not None else {}
+            hunks = diff(p, q, o)["hunks"]
+            merged = merge_lines(p, q, hunks, {k: own.get(k, default) for k in range(len(hunks))})
+            out.append("".join(t + e for t, e in merged))
+        return pd.Series(out, dtype=object)
+
+    pick = F.col(choices) if choices else F.lit(None).cast("map<int, string>")
+    return pairs.select(*keep, run(F.col(old), F.col(new), pick).alias("merged"))
+
+
+def minimap(results: DataFrame, keys: Sequence[str], pixels: int, priority: Column | None = None) -> DataFrame:
+    """(keys, pixel, hunk, kind): the hunk that a strip of ``pixels`` cells shows in each cell. A hunk takes a unit for its head
+    and one for each line of its longer side; of those that meet in a cell the highest ``priority`` wins, then the first."""
+    h = hunk_rows(results, *keys).withColumn("units", F.greatest("old_len", "new_len", F.lit(1)) + 1)
+    w = Window.partitionBy(*keys)
+    upto = F.sum("units").over(w.orderBy("hunk").rowsBetween(Window.unboundedPreceding, 0))
+    h = h.withColumns({"upto": upto, "total": F.sum("units").over(w), "rank": priority if priority is not None else F.lit(0)})
+    first = F.least(F.floor((F.col("upto") - F.col("units")) / F.col("total") * pixels), F.lit(pixels - 1))
+    last = F.least(F.greatest(first + 1, F.ceil(F.col("upto") / F.col("total") * pixels)), F.lit(pixels)) - 1
+    cells = h.withColumn("pixel", F.explode(F.sequence(first, last)))
+    best = F.min(F.struct((-F.col("rank")).alias("r"), "hunk", "kind"))
+    return cells.groupBy(*keys, "pixel").agg(best.alias("b")).select(*keys, "pixel", "b.hunk", "b.kind")
+
+
 def sort_lines(df: DataFrame, line: str = "line", numeric: bool = False, reverse: bool = False) -> DataFrame:
     """Lines in byte order, or numbers first by value and the rest by bytes; ``reverse`` turns the whole order round."""
     return df.orderBy(*sort_keys(F.col(line), numeric, reverse))

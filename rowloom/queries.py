@@ -8,22 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions import display, encode, paths
-from rowloom.operators import binary, lines, threeway, trees, words
+from rowloom.functions import encode, paths
+from rowloom.operators import lines, threeway, trees, words
 from rowloom.operators.reconcile import reconcile
 from rowloom.operators.tables import compare_tables
 from rowloom.plans.options import Rules
-from rowloom.sources import render, sinks
+from rowloom.sources import render, scratch, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, raw: bool = False, name: str = ""):
+    """Register a query and its SQL, in which braces mark tables (unless ``raw``)."""
+
     def register(f):
-        QUERIES[f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("{", "").replace("}", "")
+            ORACLES[key] = sql if raw else sql.replace("{", "").replace("}", "")
         return f
 
     return register
@@ -181,11 +184,6 @@ def tolerance_diff_orders(spark, sf_dir):
     return orders_diff(spark, sf_dir, tolerances={"o_totalprice": 0.5}).rows()
 
 
-@query()
-def tolerance_matching_lineitem(spark, sf_dir):
-    return lineitem_diff(spark, sf_dir, tolerances={"l_quantity": 1.0}).summary()
-
-
 CELLS = [c for c in ORDERS if c != "o_orderkey"]
 CHANGED = "concat_ws(',', " + ", ".join(f"case when l.{c} is distinct from r.{c} then '{c}' end" for c in CELLS) + ")"
 
@@ -328,10 +326,8 @@ def sorted_multiset_lines(spark, sf_dir):
 
 @query("select cast(o_orderkey as varchar) as line, row_number() over (order by o_orderkey) as place from orders")
 def numeric_line_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("line"))
-    return rows.select("line", F.row_number().over(Window.orderBy(*lines.sort_keys(F.col("line"), numeric=True))).cast("long").alias("place"))
+    return scratch.numbered(rows, lines.sort_keys(F.col("line"), numeric=True), "place").select("line", (F.col("place") + 1).alias("place"))
 
 
 PAGE_OLD = "select 'site/' || (page_id % 7) || '/' || (page_id % 3) || '/' || page_id || '.html' as path, html from pages where page_id % 97 <> 5"
@@ -377,17 +373,6 @@ def glob_filter_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(f.column("url")).select("page_id")
 
 
-@query()
-def byte_diff_pages(spark, sf_dir):
-    old, new = page_trees(spark, sf_dir)
-    return binary.diff_binary(trees.entry_pairs(old.select("path"), old, new)).drop("regions")
-
-
-@query()
-def display_width_parts(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", display.width_column(F.col("p_name")).alias("cells"), display.truncate_column(F.col("p_name"), 12).alias("short"))
-
-
 @query("select p_partkey, sha256(" + _enc(["p_name", "p_brand"]) + ") as digest from part")
 def encoded_rows_part(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(encode.row([F.col("p_name"), F.col("p_brand")]), 256).alias("digest"))

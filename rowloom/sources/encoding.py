@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -29,20 +30,28 @@ def bom(data: bytes) -> bytes:
     return next((b for b in BOMS if data.startswith(b)), b"")
 
 
+#: Escapes that designate a two-byte set, and the bytes of a character in EUC-JP and in Shift_JIS.
+ESCAPES = re.compile(rb"\x1b\$[@B(]")
+PAIRS = re.compile(rb"([\xa1-\xfe]{2}|\x8e[\xa1-\xdf])|([\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf])|[\x80-\xff]")
+
+
 def detect(data: bytes, hint: str = "") -> str:
-    """Byte order mark, hint, ISO-2022-JP escapes, the zero bytes of UTF-16, valid UTF-8, else the likelier of Shift_JIS and
-    EUC-JP; from the first 8 KiB."""
+    """Byte order mark, hint, ISO-2022-JP escapes, the zero bytes of UTF-16 (a quarter of all, nine in ten of them on one side),
+    valid UTF-8, else Shift_JIS or EUC-JP, whichever more characters fit; from the first 8 KiB."""
     sample = data[:SAMPLE]
     mark = bom(sample)
     if mark:
         return BOMS[mark]
     if hint and hint.lower() != "auto":
         return canonical(hint)
-    if any(e in sample for e in (b"\x1b$B", b"\x1b$@", b"\x1b(J")):
+    if ESCAPES.search(sample):
         return "iso-2022-jp"
-    zeros = (sample[0::2].count(0), sample[1::2].count(0))
-    if len(sample) >= 4 and max(zeros) * 5 >= len(sample) and min(zeros) * 4 <= max(zeros):
-        return "utf-16le" if zeros[1] > zeros[0] else "utf-16be"
+    whole = sample[: len(sample) & ~1]
+    big, little = whole[0::2].count(0), whole[1::2].count(0)
+    if len(whole) >= 4 and 4 * (big + little) >= len(whole):
+        for name, zeros in (("utf-16le", little), ("utf-16be", big)):
+            if zeros >= (big + little) * 9 // 10:
+                return name
     for cut in range(4):  # the sample may end inside a character
         try:
             sample[: len(sample) - cut].decode("utf-8")
@@ -50,13 +59,8 @@ def detect(data: bytes, hint: str = "") -> str:
         except UnicodeDecodeError:
             if len(sample) < SAMPLE:
                 break
-    return min(("shift_jis", "euc-jp"), key=lambda e: _strange(sample, CODECS[e]))
-
-
-def _strange(sample: bytes, codec: str) -> tuple[int, int]:
-    """Bytes that don't decode, and half-width kana, which real text hardly uses."""
-    text = sample.decode(codec, errors="replace")
-    return text.count("�"), sum("｡" <= c <= "ﾟ" for c in text)
+    fits = [(bool(m[1]), bool(m[2])) for m in PAIRS.finditer(sample)]
+    return "euc-jp" if sum(e for e, _ in fits) > sum(s for _, s in fits) else "shift_jis"
 
 
 def decode(data: bytes, encoding: str = "", errors: str = "replace") -> str:

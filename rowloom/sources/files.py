@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,9 +48,19 @@ class TreeSource(DataSource):
         return _TreeReader(self.options)
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path in it, of a URI or of a local path."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path)
+    try:
+        return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise UsageError(f"can't walk {path}: {e}") from e
+
+
 class _TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.content = options.get("content", "true").lower() == "true"
         self.prune = {p for p in options.get("prune", "").split(",") if p}
         self.slices = int(options.get("slices", "8"))
@@ -55,35 +68,44 @@ class _TreeReader(DataSourceReader):
         self.archive_bytes = int(options.get("archive_bytes", ARCHIVE_BYTES))
 
     def partitions(self):
-        if os.path.isfile(self.root):
-            if not self.root.lower().endswith(ARCHIVES):
-                raise UsageError(f"{self.root} is neither a folder nor an archive")
+        store, root = store_of(self.path)
+        kind = store.get_file_info(root).type
+        if kind == fs.FileType.File:
+            if not root.lower().endswith(ARCHIVES):
+                raise UsageError(f"{self.path} is neither a folder nor an archive")
             return [_Files([])]
-        if not os.path.isdir(self.root):
-            raise UsageError(f"no folder {self.root}")
-        found = []
-        for d, folders, names in os.walk(self.root):
-            folders[:] = [f for f in folders if f not in self.prune]
-            found += [os.path.join(d, n) for n in names if os.path.isfile(os.path.join(d, n)) and not os.path.islink(os.path.join(d, n))]
+        if kind != fs.FileType.Directory:
+            raise UsageError(f"no folder {self.path}")
+        local = isinstance(store, fs.LocalFileSystem)
+        found, folders = [], [root]
+        while folders:
+            for e in store.get_file_info(fs.FileSelector(folders.pop())):
+                if local and os.path.islink(e.path):
+                    continue
+                if e.type == fs.FileType.Directory and e.base_name not in self.prune:
+                    folders.append(e.path)
+                elif e.type == fs.FileType.File:
+                    found.append((e.path, e.size, (e.mtime_ns or 0) // 1000))
         found.sort()
         n = max(1, min(self.slices, len(found)))
         return [_Files(found[i::n]) for i in range(n)]
 
     def read(self, partition) -> Iterator[tuple]:
-        if os.path.isfile(self.root):
-            yield from archive_entries(self.root, self.entry_bytes, self.archive_bytes, self.content)
+        store, root = store_of(self.path)
+        if store.get_file_info(root).type == fs.FileType.File:
+            with store.open_input_file(root) as raw:
+                yield from archive_entries(root, self.entry_bytes, self.archive_bytes, self.content, raw)
             return
-        for f in partition.files:
-            s = os.stat(f)
+        for path, size, mtime in partition.files:
             data = None
             if self.content:
-                with open(f, "rb") as h:
+                with store.open_input_stream(path) as h:
                     data = h.read()
-            yield os.path.relpath(f, self.root).replace(os.sep, "/"), s.st_size, datetime.fromtimestamp(s.st_mtime_ns // 1000 / 1e6, timezone.utc), data
+            yield path[len(root) :].lstrip("/"), size, datetime.fromtimestamp(mtime / 1e6, timezone.utc), data
 
 
-def archive_entries(path: str, entry_bytes: int = ENTRY_BYTES, archive_bytes: int = ARCHIVE_BYTES, content: bool = True) -> Iterator[tuple]:
-    """(path, size, mtime, content) of an archive's regular files, within limits on what they unpack to."""
+def archive_entries(path: str, entry_bytes: int = ENTRY_BYTES, archive_bytes: int = ARCHIVE_BYTES, content: bool = True, raw=None) -> Iterator[tuple]:
+    """(path, size, mtime, content) of an archive's regular files, within limits on what they unpack to; ``raw``: the open file."""
     total = 0
 
     def check(name: str, size: int) -> None:
@@ -95,13 +117,13 @@ def archive_entries(path: str, entry_bytes: int = ENTRY_BYTES, archive_bytes: in
             raise CompareError(f"{path} unpacks to more than {archive_bytes} bytes")
 
     if path.lower().endswith(".zip"):
-        with zipfile.ZipFile(path) as z:
+        with zipfile.ZipFile(raw or path) as z:
             for e in z.infolist():
                 if not e.is_dir():
                     check(e.filename, e.file_size)
                     yield e.filename, e.file_size, datetime(*e.date_time, tzinfo=timezone.utc), z.read(e) if content else None
     else:
-        with tarfile.open(path) as t:
+        with tarfile.open(None if raw else path, fileobj=raw) as t:
             for e in t:
                 if e.isfile():
                     check(e.name, e.size)
@@ -114,8 +136,30 @@ def read_tree(spark: SparkSession, path: str, content: bool = True, **options) -
     return spark.read.format("rowloom_tree").options(content=str(content).lower(), **options).load(path)
 
 
-def read_document(spark: SparkSession, path: str, name: str = "", enc: str = "", max_line: int = 64 << 20) -> DataFrame:
-    """(name, text) of a file in any known encoding; binary data and over-long lines are errors."""
+def write_tree(files: DataFrame, folder: str) -> int:
+    """Write ``files`` (path, content) below ``folder``, each task its own, and return how many; a path that leaves the folder
+    is an error. A file is written under another name and then renamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise UsageError(f"{path} is outside the folder")
+                at = f"{root}/{path}"
+                store.create_dir(os.path.dirname(at), recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as h:
+                    h.write(data or b"")
+                store.move(part, at)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def read_document(spark: SparkSession, path: str, name: str = "", enc: str = "", max_line: int = 64 << 20, pre: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(name, text) of a file in any known encoding; binary data and over-long lines are errors. ``pre`` prepares the rows, and
+    runs where they are."""
     if os.path.isdir(path.removeprefix("file://")):
         raise CompareError(f"{path} is a folder")
     files = spark.read.format("binaryFile").load(path)
@@ -123,7 +167,16 @@ def read_document(spark: SparkSession, path: str, name: str = "", enc: str = "",
     out = files.select(F.lit(name or path).alias("name"), text.alias("text"))
     longest = F.aggregate(F.transform(F.split("text", "\r\n|\r|\n"), F.length), F.lit(0), lambda a, b: F.greatest(a, b))
     bad = F.when(F.col("text").isNull(), F.raise_error(F.lit("binary content"))).when(longest > max_line, F.raise_error(F.lit("a line is too long")))
-    return out.select("name", F.coalesce(bad.cast("string"), "text").alias("text"))
+    out = out.select("name", F.coalesce(bad.cast("string"), "text").alias("text"))
+    return out.transform(pre) if pre else out
+
+
+def read_lines(spark: SparkSession, path: str, max_line: int = 64 << 20) -> DataFrame:
+    """(line) of UTF-8 files of any length, read in splits, no file in one cell; lines end at LF, CRLF or CR, and one of more than
+    ``max_line`` bytes is an error."""
+    rows = spark.read.text(path)
+    long = F.when(F.octet_length("value") > max_line, F.raise_error(F.lit("a line is too long")))
+    return rows.select(F.coalesce(long.cast("string"), "value").alias("line"))
 
 
 def inline(spark: SparkSession, old: str | None, new: str | None, pre: Callable[[str], str] | None = None) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rowloom.operators.tables import TableDiff
@@ -53,6 +54,28 @@ def changed_columns_only(diff: TableDiff) -> DataFrame:
     return rows.select(*own, *[F.col(f"`{c}`") for c in diff.plan.columns if c in changed or c in diff.plan.key])
 
 
+def find_columns(names: list[str], text: str) -> list[str]:
+    """The column names that hold ``text``, whatever its case."""
+    return [n for n in names if text.lower() in n.lower()]
+
+
+class Progress:
+    """Rows, bytes and rates of what has passed a DataFrame, from an observation that Spark keeps while the plan runs."""
+
+    def __init__(self, phase: str, label: str = ""):
+        self.phase, self.label, self.seen, self.began = phase, label, Observation(), time.monotonic()
+
+    def watch(self, rows: DataFrame, size: Column | None = None) -> DataFrame:
+        """``rows`` unchanged, counted as they pass; ``size`` gives a row's bytes."""
+        return rows.observe(self.seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size if size is not None else F.lit(0)), F.lit(0)).cast("long").alias("bytes"))
+
+    def report(self) -> dict:
+        """After the plan has run: rows, bytes, elapsed seconds, rows_per_second, mib_per_second."""
+        got, elapsed = self.seen.get, max(time.monotonic() - self.began, 0.001)
+        rates = {"rows_per_second": got["rows"] / elapsed, "mib_per_second": got["bytes"] / (1 << 20) / elapsed}
+        return {"phase": self.phase, "label": self.label, "elapsed": elapsed, **got, **rates}
+
+
 def search(rows: DataFrame, text: str, regex: bool = False, case: bool = False, columns: list[str] | None = None, most: int = 2000) -> DataFrame:
     """Rows with a cell that holds the text, and the number of ``hits``; at most ``most`` of them."""
     import re

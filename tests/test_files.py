@@ -103,7 +103,7 @@ def test_globs(spark, glob, name, hit):
 def test_filter_language(spark):
     rows = spark.createDataFrame([("a/big.TXT", 3 << 20, 0), ("old/x.tmp", 10, 86400), (".hid/y", 5, 0)], "path string, size long, t long").withColumn("mtime", F.timestamp_seconds("t"))
     pick = lambda e: sorted(r.path for r in rows.filter(paths.expression(e)).collect())
-    assert pick("size >= 1MiB") == ["a/big.TXT"] and pick("ext == .txt") == ["a/big.TXT"] and pick("not (ext == '.tmp' or size > 1k)") == [".hid/y"]
+    assert pick("size >= 1MiB") == ["a/big.TXT"] and pick("ext == .TXT") == ["a/big.TXT"] and pick("ext == .txt") == [] and pick("not (ext == '.tmp' or size > 1k)") == [".hid/y"]
     assert pick('path =~ "^old/" and mtime >= 1970-01-02') == ["old/x.tmp"] and pick("name == y or size < 6 and size > 6") == [".hid/y"]
     for bad in ("size", "size >", "nope == 1", "(size > 1", "size > 1 )", "name < x", "size > many"):
         with pytest.raises(UsageError):
@@ -166,3 +166,44 @@ def test_watching(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("watched").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("watched").count() == 3
+
+
+def test_extension_and_classes(spark):
+    from pyspark.sql import functions as F
+
+    from rowloom.functions import paths
+
+    names = ["a/x.TXT", "a/x.txt", "bx", "!x", "ax", "]x", "-x", "noext", "a.b/c"]
+    df = spark.createDataFrame([(n,) for n in names], "path string").withColumns({"size": F.lit(0), "mtime": F.lit(0).cast("timestamp")})
+    hit = lambda c: [r.path for r in df.filter(c).collect()]
+    assert hit(paths.expression("ext == '.txt'")) == ["a/x.txt"] and hit(paths.expression("ext == ''")) == ["bx", "!x", "ax", "]x", "-x", "noext", "a.b/c"]
+    match = lambda g: hit(paths.matches_glob(F.col("path"), g))
+    assert match("[!a]x") == ["!x", "ax"] and match("[^a]x") == ["bx", "!x", "]x", "-x"] and match("[\\]\\-]x") == ["]x", "-x"]
+    assert match("[a-c]x") == ["bx", "ax"] and match("[c-a]x") == match("[]a]x") == match("[a") == []
+
+
+def test_detection_by_pairs_and_zero_bytes():
+    from rowloom.sources.encoding import detect
+
+    assert detect("漢字かな交じりの文".encode("euc_jp")) == "euc-jp" and detect("漢字かな交じりの文".encode("cp932")) == "shift_jis"
+    assert detect(b"\x1b(Jabc") == "utf-8" and detect(b"\x1b$(Dxx") == "iso-2022-jp"
+    assert detect("ab日本語の文書です".encode("utf-16-le")) != "utf-16le" and detect("abcd".encode("utf-16-be")) == "utf-16be"
+    assert detect(b"a\0b\0\0c\0d") not in ("utf-16le", "utf-16be")
+
+
+def test_tree_through_a_file_system(spark, tmp_path):
+    import zipfile
+
+    df = spark.createDataFrame([("a/b.txt", b"one"), (".hidden", b""), ("c/_x", None)], "path string, content binary")
+    at = f"file://{tmp_path}/tree"
+    assert files.write_tree(df, at) == 3
+    (tmp_path / "tree" / "link").symlink_to(tmp_path / "tree" / ".hidden")
+    got = {r.path: (r.size, bytes(r.content)) for r in files.read_tree(spark, at).collect()}
+    assert got == {"a/b.txt": (3, b"one"), ".hidden": (0, b""), "c/_x": (0, b"")}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/side", "text")
+    assert [(r.path, bytes(r.content)) for r in files.read_tree(spark, f"file://{tmp_path}/z.zip").collect()] == [("in/side", b"text")]
+    (tmp_path / "l.txt").write_bytes(b"one\r\ntwo\n" + b"x" * 100)
+    assert [r.line for r in files.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["one", "two", "x" * 100]
+    with pytest.raises(Exception, match="too long"):
+        files.read_lines(spark, str(tmp_path / "l.txt"), max_line=50).collect()

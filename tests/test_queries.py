@@ -21,9 +21,9 @@ def duck():
 
 
 def names():
-    from rowloom import queries
+    from rowloom import file_queries, queries
 
-    return list(queries.QUERIES)
+    return list(file_queries and queries.QUERIES)
 
 
 def cells(pdf):

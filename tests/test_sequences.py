@@ -154,6 +154,75 @@ def test_three_way_tables(text_table, collected):
         threeway.compare_tables_three_way(text_table("id", "1"), text_table("id", "1"), text_table("id", "1"))
 
 
+def test_three_way_lines_against_plain_edits():
+    rng = random.Random(21)
+    for _ in range(150):
+        text = [rng.choice("abcdef") for _ in range(rng.randrange(10))]
+
+        def edited(text=text):
+            out = []
+            for x in text:
+                if rng.random() < 0.2:
+                    out += rng.choice([[], [x, "new"], ["other"]])
+                else:
+                    out.append(x)
+            return out
+
+        left, right = edited(), edited()
+        three = [[(x, "\n") for x in d] for d in (text, left, right)]
+        events = threeway.line_events(*three)
+        # putting a side's text in each event's place gives that side back
+        for side, want in (("left", left), ("right", right), ("base", text)):
+            got, at = [], 0
+            for e in events:
+                got += text[at : e["base_start"]] + e[side]
+                at = e["base_start"] + e["base_len"]
+                assert e["base"] == text[e["base_start"] : at]
+            assert got + text[at:] == want
+        for e in events:
+            own = {k: e[k] != e["base"] for k in ("left", "right")}
+            want = "conflict" if all(own.values()) and e["left"] != e["right"] else "same" if own["left"] == own["right"] else "left_only" if own["left"] else "right_only"
+            assert e["kind"] == want
+        assert all(a["base_start"] + a["base_len"] <= b["base_start"] for a, b in zip(events, events[1:], strict=False))
+
+
+def test_three_way_tables_against_plain_counts(text_table):
+    from collections import Counter
+
+    rng = random.Random(22)
+    rows = lambda n: [f"{rng.choice('1234')},{rng.choice('abc')}" for _ in range(n)]
+    base = rows(12)
+    side = lambda: [r for r in base if rng.random() < 0.8] + rows(2)
+    left, right = side(), side()
+    m = three(text_table, base, left, right)
+    got = {r.key[0]: r for r in m.events().collect()}
+    for k in "1234":
+        b, l, r = (Counter(x for x in s if x[0] == k) for s in (base, left, right))
+        gone = {s: b - c for s, c in (("l", l), ("r", r))}
+        want = None if b == l == r else "right_only" if b == l else "left_only" if b == r else "same" if l == r else "merged" if all(gone["l"][x] + gone["r"][x] <= b[x] for x in b) else "conflict"
+        assert (got[k].kind if k in got else None) == want, k
+        if want:
+            bag = lambda rows: Counter(",".join(x) for x in rows)
+            assert bag(got[k].base) == b and bag(got[k].left) == l and bag(got[k].right) == r
+            if want == "merged":
+                assert bag(got[k].combined) == b - gone["l"] - gone["r"] + (l - b) + (r - b)
+    chosen = text_table("id,choice", *[f"{got[k].id},right" for k in got])
+    out = Counter(f"{a},{b}" for a, b in m.merge(chosen).collect())
+    for k in "1234":
+        want = Counter(x for x in base if x[0] == k) if k not in got else Counter(",".join(x) for x in {"left_only": got[k].left, "same": got[k].left, "merged": got[k].combined}.get(got[k].kind, got[k].right))
+        assert Counter({x: n for x, n in out.items() if x[0] == k}) == want
+
+
+def test_two_way_merge_of_documents(spark):
+    from pyspark.errors import PythonException
+
+    pairs = spark.createDataFrame([(1, "a\r\nb\nc", "A\r\nb\nC\n", {0: "right", 1: "left"}), (2, "same\n", "same\n", None), (3, None, "new\n", {0: "right"})], "id int, old string, new string, pick map<int, string>")
+    assert {r.id: r.merged for r in lines.merge_documents(pairs, "pick").collect()} == {1: "A\r\nb\nc", 2: "same\n", 3: "new\n"}
+    with pytest.raises(PythonException):
+        lines.merge_documents(pairs).collect()
+    assert {r.id: r.merged for r in lines.merge_documents(pairs, default="left").collect()} == {1: "a\r\nb\nc", 2: "same\n", 3: ""}
+
+
 def test_rendering_agrees_with_the_diff(tmp_path):
     import subprocess
 

@@ -86,6 +86,16 @@ def test_reconcile(text_table, collected):
         reconcile(d)
 
 
+def test_encoded_rows_are_decoded(spark):
+    from pyspark.sql import functions as F
+
+    from rowloom.functions import encode
+
+    df = spark.createDataFrame([("a", "é日"), ("", None), ("x" * 300, "\0")], "a string, b string").select("a", "b", encode.row([F.col("a"), F.col("b")]).alias("r"))
+    got = df.select("a", "b", encode.decode(F.col("r"), 2).alias("d"), encode.decode(F.col("r"), 1).alias("more"), encode.decode(F.substring("r", 1, 6), 2).alias("cut")).collect()
+    assert all(r.d == [r.a, r.b or ""] and r.more is None and r.cut is None for r in got)
+
+
 def test_headerless_and_empty(text_table, spark):
     d = compare_tables(text_table("column_0,column_1", "a,1", "b,2"), text_table("column_0,column_1", "b,3", "a,1"), keys=[0], has_header=False)
     assert counts(d) == (1, 0, 0, 1, 1, 2)
