@@ -8,17 +8,18 @@ all, the term reveals the share log(N n(e, t) / (n(e) n(t))) / log(N / n(e)) of
 ``SUPPORT`` documents or more with an entity and reveal ``DISCLOSURE`` of it or more are spans of kind ``term`` in each place
 of every text, also where the entity is not written. Counts are over all documents.
 
-Patterns are read without backtracking into a run (possessive repeats, begun only where a run begins), so long texts take
-linear time. Positions are code points, end exclusive. Defined cases: null text is empty; a text without spans gives
-empty strings; overlapping kinds are all reported; repeated rows are documents of their own; an empty table gives an
-empty result; extra columns are ignored by ``find`` and kept by ``sanitise``.
+Patterns are read without backtracking into a run (possessive repeats, begun only where a run begins), and positions are
+added up in chunks of ``CHUNK`` spans, so that long texts and texts of very many spans take about linear time. Terms are
+read from the text with its base spans blanked out by as many line feeds. Positions are code points, end exclusive.
+Defined cases: null text is empty; a text without spans gives empty strings; overlapping kinds are all reported; repeated
+rows are documents of their own; an empty table gives an empty result; extra columns are ignored by ``find`` and kept by
+``sanitise``, which removes all that overlapping spans cover and puts the name of the first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rowloom.llm import buckets, store
 
@@ -32,6 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SUPPORT, DISCLOSURE = 3, 0.9
+#: Spans that are gone through together, as an array that grows is copied at each step.
+CHUNK = 64
+#: Terms of all rows that are broadcast at most.
+BROADCAST_TERMS = 1_000_000
 #: What entities have in common, by kind: first group of the pattern in the lower-cased text.
 SHARED = {"email": "(@.*)$", "ip": r"^(.*\.)[^.]*$", "card": "^((?:[^0-9]*[0-9]){6})", "phone": r"^(\+(?:[^0-9]*[0-9]){6})"}
 TERM = r"[\p{L}\p{N}_]++(?:['\u2019-][\p{L}\p{N}_]++)*+"
@@ -48,34 +53,82 @@ def _valid(kind: str, m: str) -> str:
     return "true"
 
 
-def matches(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, text>> of one kind's valid matches, leftmost and non-overlapping.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(z: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor(F.size(z) / CHUNK).cast("int"))
+
+
+def _chunk(z: Column, c: Column) -> Column:
+    return F.slice(z, c * CHUNK + 1, F.lit(CHUNK))
+
+
+def _before(z: Column, of) -> Column:
+    """What the aggregate ``of`` (state, chunk) has come to before each chunk of z, and at the end."""
+    step = lambda acc, c: F.struct(of(acc["at"], _chunk(z, c)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(_chunks(z), start, step, lambda acc: F.array_append(acc["out"], acc["at"]))
+
+
+def placed(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, text>> of a pattern's matches, leftmost and non-overlapping.
 
     The text's pieces between matches (split) and the matches themselves alternate, so their lengths give the positions.
     """
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.length)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     empty = F.expr("cast(array() as array<struct<start: int, end: int, text: string>>)")
-    step = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("text"))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(found) == 0, empty).otherwise(step)
+    length = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"]))
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))).alias("out"))
+
+    def every(z: Column) -> Column:
+        part = lambda at: lambda c: F.aggregate(_chunk(z, c), F.struct(at[c].alias("at"), empty.alias("out")), one, lambda acc: acc["out"])
+        return _let(_before(z, lambda at, x: at + length(x)), lambda at: F.flatten(F.transform(_chunks(z), part(at))))
+
+    zipped = lambda m: F.arrays_zip(m.alias("m"), F.slice(gaps, F.lit(1), F.size(m)).alias("gap"))
+    return _let(found, lambda m: F.when(F.size(m) == 0, empty).otherwise(_let(zipped(m), every)))
+
+
+def cut_out(text: Column, spans: Column, put) -> Column:
+    """``text`` with each of ``spans`` (start, end, ...; in order) taken out; ``put`` (span, first position not yet taken out)
+    stands there instead. A span that begins inside another puts something for what is left of it."""
+    none = F.expr("cast(array() as array<string>)")
+    last = lambda at, part: F.aggregate(part, at, lambda n, x: F.greatest(n, x["end"]))
+
+    def one(region: Column, base: Column):
+        def step(acc: Column, x: Column) -> Column:
+            piece = F.substring(region, acc["at"] - base + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+            out = F.array_append(acc["out"], F.concat(piece, put(x, F.greatest(acc["at"], x["start"]))))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+        return step
+
+    def every(z: Column) -> Column:
+        def parts(at: Column) -> Column:
+            part = lambda c: _let(
+                F.substring(text, at[c] + 1, at[c + 1] - at[c]),
+                lambda region: F.aggregate(_chunk(z, c), F.struct(at[c].alias("at"), none.alias("out")), one(region, at[c]), lambda acc: acc["out"]),
+            )
+            rest = F.substring(text, F.element_at(at, -1) + 1, F.length(text))
+            return F.array_join(F.array_append(F.flatten(F.transform(_chunks(z), part)), rest), "")
+
+        return _let(_before(z, last), parts)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, every))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base): base is the array of (start, kind no., kind, end, text), sorted."""
     d = store.columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for k in KINDS:
-        d = d.withColumn(k, matches(F.col("text"), k))
+        d = d.withColumn(k, placed(F.col("text"), PATTERNS[k]))
     parts = [
         F.expr(f"transform(filter({k}, x -> {_valid(k, 'x.text')}), x -> struct(x.start as start, {i} as no, '{k}' as kind, x.end as end, x.text as text))")
         for i, k in enumerate(KINDS)
@@ -91,46 +144,34 @@ def _entities() -> Column:
     return F.expr(f"array_distinct(concat({own}, transform(base, s -> concat('shared ', s.kind, ':', case s.kind {cases} end))))")
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """(row, term, start, end) of every term in ``rows`` (row, text): the pieces between terms and the terms alternate."""
-    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split("text", TERM, -1), F.length)
-    zipped = F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    each = rows.select("row", F.posexplode(zipped).alias("no", "x")).select("row", "no", "x.m", "x.gap")
-    end = F.sum(F.col("gap") + F.length("m")).over(Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return each.select("row", F.lower("m").alias("term"), end.alias("end"), F.length("m").alias("n")).select("row", "term", (F.col("end") - F.col("n")).alias("start"), "end")
-
-
 def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, row, th, base, terms): arrays of spans of every row of ``docs``; row is a unique number, th the text's hash."""
-    based = base_spans(docs).select("doc_id", "text", F.xxhash64("text").alias("th"), "base", F.monotonically_increasing_id().alias("row"))
+    blank = lambda x, at: F.repeat(F.lit("\n"), F.greatest(x["end"] - at, F.lit(0)))
+    based = base_spans(docs).select(
+        "doc_id", F.xxhash64("text").alias("th"), "base", cut_out(F.col("text"), F.col("base"), blank).alias("plain"), F.monotonically_increasing_id().alias("row")
+    )
     based = store.keep(based, "pii-base")
-    # words outside the base spans: the text with a line feed for each span
-    outside = """aggregate(base, struct(0 as at, cast(array() as array<string>) as out), (acc, s) -> struct(greatest(acc.at, s.end) as at,
-        if(s.start < acc.at, acc.out, array_append(acc.out, substring(text, acc.at + 1, s.start - acc.at))) as out),
-        acc -> array_join(array_append(acc.out, substring(text, acc.at + 1)), '\n'))"""
-    plain = F.when(F.size("base") == 0, F.col("text")).otherwise(F.expr(outside))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
-    terms = based.select("row", F.explode(words).alias("term")).filter("length(term) > 1")
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("plain"), F.lit(TERM), F.lit(0))), lambda x: F.length(x) > 1)
+    terms = based.select("row", F.explode(words).alias("term"))
     total = based.count()
     entities = based.filter("size(base) > 0").select("row", F.explode(_entities()).alias("entity"))
     # n(e, t) can't exceed n(e)
     n_e = store.keep(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < total)), "pii-entities")
-    held = store.keep(entities.join(n_e, "entity").select("row", "entity"), "pii-held")
-    beside = terms.join(held.select("row").distinct(), "row", "left_semi")
-    pairs = beside.join(held, "row").groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = store.keep(pairs, "pii-pairs")
-    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    share = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(total / F.col("n_e"))
+    held = store.keep(entities.join(n_e, "entity").groupBy("row").agg(F.collect_set("entity").alias("held")), "pii-held")
+    beside = based.filter("size(base) > 0").select("row", words.alias("words")).join(held, "row")
+    pairs = beside.select(F.explode("held").alias("entity"), "words").select("entity", F.explode("words").alias("term"))
+    pairs = store.keep(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support), "pii-pairs")
+    wanted = pairs.select("term").distinct()
+    n_t = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    share = (F.log(F.lit(float(total))) + F.log("n_et") - F.log("n_e") - F.log("n_t")) / (F.log(F.lit(float(total))) - F.log("n_e"))
     telling = store.keep(pairs.join(n_e, "entity").join(n_t, "term").filter(share >= disclosure).select("term").distinct(), "pii-telling")
     if telling.count() <= buckets.BROADCAST_KEYS:
         telling = F.broadcast(telling)
-    told = terms.join(telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("told"))
-    told = store.keep(based.join(told, "row").select("row", "text", "base", "told"), "pii-told")
-    at = _places(told.select("row", "text")).join(telling, "term", "left_semi")
-    at = at.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("at"))
-    free = F.expr("filter(at, x -> not exists(base, s -> s.start < x.end and x.start < s.end))")
-    spans = told.select("row", "base").join(at, "row").select("row", free.alias("terms"))
+    told = store.keep(terms.join(telling, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("told")), "pii-told")
+    many = told.agg(F.count("*") + F.coalesce(F.sum(F.size("told")), F.lit(0))).first()[0] > BROADCAST_TERMS
+    at = F.filter(placed(F.col("plain"), TERM), lambda x: F.array_contains(F.col("told"), F.lower(x["text"])))
+    spans = based.select("row", "plain").join(told if many else F.broadcast(told), "row")
+    spans = spans.select("row", F.transform(at, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
     out = based.select("doc_id", "row", "th", "base").join(spans, "row", "left")
     return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, end: int>>)")))
 
@@ -146,11 +187,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with base spans generalised to ``[kind]`` and disclosing terms removed; of overlapping spans the first counts."""
-    every = "array_sort(concat(transform(base, s -> struct(s.start as start, -s.end as last, concat('[', s.kind, ']') as put)), transform(terms, t -> struct(t.start as start, -t.end as last, '' as put))))"
+    """``docs`` with base spans generalised to ``[kind]`` and disclosing terms removed."""
+    every = "array_sort(concat(transform(base, s -> struct(s.start as start, -s.end as last, s.end as end, concat('[', s.kind, ']') as put)), transform(terms, t -> struct(t.start as start, -t.end as last, t.end as end, '' as put))))"
     cuts = find(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.expr(every).alias("__cuts")).filter(F.size("__cuts") > 0)
     cuts = cuts.dropDuplicates(["__id", "__th"])
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]) & (F.xxhash64(docs["text"]) == cuts["__th"]), "left")
-    cut = """aggregate(__cuts, struct(0 as at, '' as out), (acc, c) -> if(c.start < acc.at, acc,
-        struct(-c.last as at, concat(acc.out, substring(text, acc.at + 1, c.start - acc.at), c.put) as out)), acc -> concat(acc.out, substring(text, acc.at + 1)))"""
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.expr(cut))).select(*docs.columns)
+    name = lambda x, at: F.when(x["start"] == at, x["put"]).otherwise("")
+    cut = cut_out(F.col("text"), F.col("__cuts"), name)
+    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
