@@ -6,7 +6,8 @@ sides; the token that the fewest distinct URLs hold (counted over all of them) i
 tokens, tokens fetch candidate rules, and only these run as regular expressions. Rules without a closed token are
 candidates for every URL.
 
-Among matching host rules the longest decides; failing these a URL is blocked if a pattern matches it.
+Among matching host rules the longest decides; failing these a URL is blocked if a pattern matches it, unless an exception
+(a pattern behind ``@@``) does. ``read_patterns`` loads a list of any length, which is indexed like the built-in one.
 Defined cases: a null url and one without ``://`` have empty host and path and match nothing; repeated URLs are judged
 once; ties in length go to the larger text; empty tables, and an empty list of rules, give their rows verdict allow.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import store
@@ -35,16 +36,15 @@ def pattern_regex(pattern: str) -> str:
     return (r"^(?:[^/]*\.)?" if bound else "") + "(?s:.*)".join(quote(p) for p in body.split("*"))
 
 
-def pattern_tokens(pattern: str) -> list[str]:
-    """Literal tokens that any URL the pattern matches holds whole."""
-    bound, body = pattern.startswith("||"), pattern.removeprefix("||")
-    out = []
-    for m in re.finditer(r"[A-Za-z0-9]+", body):
-        left = body[m.start() - 1 : m.start()] if m.start() else ("^" if bound else "")
-        right = body[m.end() : m.end() + 1]
-        if left and left != "*" and right and right != "*":
-            out.append(m[0].lower())
-    return sorted(set(out))
+def _regex(pattern: Column) -> Column:
+    body = F.regexp_replace(F.regexp_replace(pattern, r"^\|\|", ""), r"([^A-Za-z0-9/_*])", r"\\$1")
+    return F.concat(F.when(pattern.startswith("||"), r"^(?:[^/]*\.)?").otherwise(""), F.replace(body, F.lit("*"), F.lit("(?s:.*)")))
+
+
+def _tokens(pattern: Column) -> Column:
+    """Literal tokens that any URL the pattern matches holds whole: runs closed on both sides by the pattern itself."""
+    found = F.regexp_extract_all(F.regexp_replace(pattern, r"^\|\|", "^"), F.lit(r"(?<=[^A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
 def host(url: Column) -> Column:
@@ -58,23 +58,37 @@ def path(url: Column) -> Column:
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def rule_table(spark, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
-    """(rule, action, own, regex, tokens): own marks host rules."""
-    rows = [(r, a, True, pattern_regex("||" + r), pattern_tokens("||" + r)) for r, a in host_rules]
-    rows += [(p, "block", False, pattern_regex(p), pattern_tokens(p)) for p in patterns]
-    return spark.createDataFrame(rows, "rule string, action string, own boolean, regex string, tokens array<string>")
+def read_patterns(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern) of a text file of one pattern a line; blank lines and those that begin with ``!`` or ``#`` are comments."""
+    line = F.trim("value")
+    return spark.read.text(path).select(line.alias("pattern")).filter((line != "") & ~line.rlike("^[!#]")).distinct()
+
+
+def rule_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
+    """(rule, action, own, regex, tokens): own marks host rules. ``patterns``: texts, or a DataFrame (pattern)."""
+    one = spark.range(1)
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("action"), F.lit(True).alias("own"), F.lit("||" + r).alias("pattern")) for r, a in [*host_rules, ("", "")]])))
+    if not isinstance(patterns, DataFrame):
+        patterns = one.select(F.explode(F.array(*[F.lit(x) for x in [*patterns, ""]])).alias("pattern"))
+    allow = F.col("pattern").startswith("@@")
+    more = patterns.select(
+        F.col("pattern").alias("rule"), F.when(allow, "allow").otherwise("block").alias("action"), F.lit(False).alias("own"), F.regexp_replace("pattern", "^@@", "").alias("pattern")
+    )
+    rows = rows.unionByName(more).filter("rule <> ''")
+    return rows.select("rule", "action", "own", _regex(F.col("pattern")).alias("regex"), _tokens(F.col("pattern")).alias("tokens"))
 
 
 def judge(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url)."""
     p = store.columns(pages, "page_id", "url")
     rules = rule_table(p.sparkSession, host_rules, patterns)
-    n_rules = len(host_rules) + len(patterns)
+    n_rules = rules.count() if isinstance(patterns, DataFrame) else len(host_rules) + len(patterns)
     near = lambda df: F.broadcast(df) if n_rules <= BROADCAST_RULES else df
 
     canon = F.concat(host(F.col("url")), path(F.col("url")))
     found = F.array_distinct(F.array_append(F.regexp_extract_all(F.lower("canon"), F.lit("[a-z0-9]+"), F.lit(0)), F.lit("")))
-    urls = p.filter(F.col("url").contains("://")).select("url").distinct().withColumn("canon", canon)
+    usable = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    urls = p.filter(usable).select("url").distinct().withColumn("canon", canon)
     held = urls.select("url", "canon", F.explode(found).alias("token"))
 
     wanted = rules.select("rule", "own", F.explode("tokens").alias("token"))
@@ -88,8 +102,10 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFra
 
     hits = held.join(near(index), "token").filter(F.expr("canon rlike regex"))
     best = F.max(F.when(F.col("own"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("action")))).alias("best")
-    decided = hits.groupBy("url").agg(best, F.max(F.when(~F.col("own"), F.lit("block"))).alias("other"))
-    out = p.join(decided, "url", "left")
+    decided = hits.groupBy("url").agg(best, F.min(F.when(~F.col("own"), F.col("action"))).alias("other"))
+    # URLs without a host meet no rule, and no join key
+    none = p.filter(~usable).select("url", "page_id", *[F.lit(None).cast(decided.schema[c].dataType).alias(c) for c in ("best", "other")])
+    out = p.filter(usable).join(decided, "url", "left").select(*none.columns).unionByName(none)
     return out.select(
         "page_id",
         host(F.col("url")).alias("host"),
