@@ -4,8 +4,10 @@ An archive is a skippable frame (magic 0x184D2A5D) that holds the dictionary, th
 all compressed with it. Equal payloads of ``REVISIT`` bytes or more are stored once: the row with the largest id is the
 response, the others are revisit records that name it. Archives roll over at ``ROLL`` bytes and are written under a
 temporary name and renamed, in an order that is the same in every attempt of a task, so a repeated task leaves the
-same files. The reader streams an archive, one frame in memory at a time, and checks the frame's magic, the version line,
-the header fields, Content-Length against the bytes there are, the closing blank lines, and the payload's digest.
+same files. Pages whose payload has no copies are archived where they are read: a bit map of the others' ids tells which.
+The reader streams an archive, one frame in memory at a time, and checks the frame's magic, the version line,
+the header fields, Content-Length against the bytes there are, the closing blank lines, the payload's digest, and that there
+is a response of the id, digest and length that a revisit names.
 
 Defined cases: null html is an empty payload; empty tables give no archive and an empty result; rows with one page_id and
 equal payloads are interchangeable, the first of them counts as the one with the largest id; a null page_id is written as
@@ -24,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.llm import store
+from rowloom.llm import sieve, store
 
 REVISIT = 1000
 ROLL = 16 << 20
@@ -70,9 +72,17 @@ def load(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT)
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI as Spark writes it; a store that only Spark's file systems reach is refused."""
+    try:
+        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ArchiveError(f"archives can't be kept under {uri}: {e}") from e
+
+
 def write_archives(folder: str, task: int, records: Iterator[bytes], roll: int = ROLL) -> Iterator[tuple[str, int]]:
     """Write records to ``folder`` (a URI); yields (file, records) of each archive."""
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = opened(folder)
     files.create_dir(root, recursive=True)
     number, held, size = 0, [], 0
 
@@ -183,23 +193,33 @@ def plan_records(pages: DataFrame) -> DataFrame:
     ids = p.groupBy("digest", "size", "page_id").agg(F.count("*").alias("m"))
     top = ids.filter(F.col("size") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("top"), F.sum("m").alias("copies")).filter("copies > 1")
     named = store.keep(
-        ids.join(top, "digest").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "top").distinct(), "warc-copies"
+        ids.join(top, "digest").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "top", F.col("m").alias("rows")), "warc-copies"
     )
+    found = sieve.broadcast(p.sparkSession, named.filter("__id is not null").select(F.col("__id").alias("key")))
+    some = p.filter("page_id is not null").withColumn("id", F.col("page_id").cast("long"))
+    rest = sieve.rows_in(some, found, False, "id").drop("id")
+    p = sieve.rows_in(some, found, True, "id").drop("id").unionByName(p.filter("page_id is null"))
     on = p["page_id"].eqNullSafe(F.col("__id")) & (p["digest"] == F.col("__digest"))
     j = p.join(named.withColumn("copy", F.lit(True)), on, "left")
+    # only rows that repeat the id of a response are put in order
+    repeated = F.coalesce(F.col("page_id").eqNullSafe(F.col("top")) & F.col("copy") & (F.col("rows") > 1), F.lit(False))
     first = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    single = F.col("copy").isNull()
-    j = j.withColumn("kind", F.when(single, "response").when(F.col("page_id").eqNullSafe(F.col("top")) & (first == 1), "response").otherwise("revisit"))
-    return j.select(
+    single = F.col("copy").isNull() | F.col("page_id").eqNullSafe(F.col("top"))
+    j = j.filter(~repeated).withColumn("kind", F.when(single, "response").otherwise("revisit")).unionByName(
+        j.filter(repeated).withColumn("kind", F.when(first == 1, "response").otherwise("revisit"))
+    )
+    j = j.select(
         "page_id", "url", F.when(F.col("kind") == "response", F.col("html")).alias("html"), "digest", "size", "kind",
         F.when(F.col("kind") == "revisit", F.col("top")).alias("refers_to"),
     )
+    return j.unionByName(rest.withColumns({"kind": F.lit("response"), "refers_to": F.lit(None).cast("long")}))
 
 
 def write(pages: DataFrame, folder: str | None = None, roll: int = ROLL) -> DataFrame:
     """Archive all ``pages`` (page_id, url, html) under ``folder``, by default in the shared folder: (file, records)."""
     spark = pages.sparkSession
-    folder = folder or store.new_path(spark, "warc")
+    folder = store.qualified(spark, folder or store.new_path(spark, "warc"))
+    opened(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -225,7 +245,7 @@ def read(files: DataFrame) -> DataFrame:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for b in batches:
             for name in b.column("file").to_pylist():
-                found, root = fs.FileSystem.from_uri(name)
+                found, root = opened(name)
                 rows = []
                 with found.open_input_stream(root) as stream:
                     for fields, block in read_records(stream):
@@ -236,4 +256,11 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.select("file").repartition(store.width(files.sparkSession), F.xxhash64("file")).mapInArrow(run, RECORD)
+    rows = store.keep(files.select("file").repartition(store.width(files.sparkSession), F.xxhash64("file")).mapInArrow(run, RECORD), "warc-rows")
+    there = rows.filter("record_type = 'response'").select(*[F.col(c).alias(f"__{c}") for c in ("page_id", "payload_digest", "payload_bytes")]).distinct()
+    there = there.withColumn("__found", F.lit(True))
+    again = rows.filter("record_type <> 'response'")
+    on = again["refers_to"].eqNullSafe(there["__page_id"]) & (again["payload_digest"] == there["__payload_digest"]) & (again["payload_bytes"] == there["__payload_bytes"])
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of "), F.coalesce(F.col("payload_digest"), F.lit("null")))).cast("long")
+    again = again.join(there, on, "left").withColumn("payload_bytes", F.when(F.col("__found"), F.col("payload_bytes")).otherwise(missing))
+    return rows.filter("record_type = 'response'").unionByName(again.select(*rows.columns))
