@@ -129,7 +129,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = T
         .join(parts, F.col("rep") == parts.id, "left")
         .select(*same, "rep", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component")
     )
-    out = v.select("vec_id", *[F.when(F.col("fine"), F.col(c)).alias(c) for c in same]).join(named, same, "left")
+    # unusable vectors meet nothing, and no join key
+    bad = v.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("rep"))
+    out = good.select("vec_id", *same).join(named, same, "left").select("vec_id", "n", F.col("component").cast("long").alias("component"), F.col("rep").cast("long").alias("rep"))
+    out = out.unionByName(bad)
     component = F.coalesce("component", "rep", "vec_id")
     return out.select(
         "vec_id",

@@ -46,24 +46,36 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` with at, their number from 0 in ``order``; sorted in ranges, never in one task."""
+    low = (1 << 33) - 1
+    rows = rows.repartitionByRange(store.width(rows.sparkSession), order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id())
+    rows = store.keep(rows.select("*", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit(low)).alias("at")).drop("id"), "mix-order")
+    # one row a partition
+    before = F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("part").agg(F.count("*").alias("m")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(parts), "part").withColumn("at", F.col("at") + F.col("before")).drop("part", "before")
+
+
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(k, source, source_size, target) of ``per_source`` (k, source, source_size), one row a source.
 
-    The excess over ``most`` times a source's size goes to the others by weight: with sources in the order of that limit
-    over weight, one is at its limit if the words left, dealt by weight to it and all later ones, would pass it.
+    Sources get words by weight, up to ``most`` times their size. The level, words for each weight of a source below its limit, is
+    found by steps: what the sources at their limit leave, dealt to the others, until no more are at theirs. Two numbers of
+    a step reach the driver.
     """
-    at = F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights)))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (at + 1).cast("int"))
-    every = Window.partitionBy()
-    rows = per_source.withColumn("w", w).withColumn("limit", F.col("source_size") * F.lit(most))
-    rows = rows.withColumn("all", F.sum("source_size").over(every) * F.lit(share))
-    order = Window.orderBy((F.col("limit") / F.col("w")), "k")
-    before = F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (F.col("all") - before) / after)
-    rows = rows.withColumn("full", F.col("limit") <= F.col("level") * F.col("w"))
-    level = F.max(F.when(~F.col("full"), F.col("level"))).over(every)
-    return rows.select("k", "source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("w") * level).alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("at"), F.lit(len(weights))) + 1).cast("int"))
+    rows = numbered(per_source, F.col("source").asc_nulls_last()).withColumn("w", w).withColumn("limit", F.col("source_size") * F.lit(most))
+    rows = store.keep(rows, "mix-weights")
+    total = rows.agg(F.sum("source_size")).first()[0]
+    level, last = 0.0, -1
+    while total:
+        full = F.col("limit") <= F.lit(level) * F.col("w")
+        n, held, open_ = rows.agg(F.sum(full.cast("int")), F.sum(F.when(full, F.col("limit")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
+        if n == last or not open_:
+            break
+        level, last = (share * float(total) - held) / open_, n
+    return rows.select("k", "source", "source_size", F.least(F.col("limit"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -43,8 +44,15 @@ def test_urls_against_every_rule(spark):
     assert {r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), (), ()).collect()} == {"allow"}
 
 
-def test_pattern_tokens():
-    assert urls.pattern_tokens("||example.org/en/1") == ["en", "example", "org"] and urls.pattern_tokens("ads*/x/") == ["x"] and urls.pattern_tokens("plain") == []
+def test_pattern_lists(spark, tmp_path):
+    texts = ["||example.org/en/1", "ads*/x/", "plain", "||a-b.c/*/d?e=1", "/x.y/(z)", "@@/ads/good/", "||t.*.u/"]
+    rows = {r.rule: r for r in urls.rule_table(spark, (), tuple(texts)).collect()}
+    assert all(rows[t].regex == urls.pattern_regex(t.removeprefix("@@")) for t in texts) and rows["@@/ads/good/"].action == "allow"
+    assert [rows[t].tokens for t in texts[:3]] == [["en", "example", "org"], ["x"], []]
+    (tmp_path / "list.txt").write_text("! a comment\n\n/ads/\n@@/ads/good/\n||bad.com/\n" + "".join(f"/never{i}/\n" for i in range(500)))
+    pages = spark.createDataFrame([(1, "http://x.org/ads/1"), (2, "http://x.org/ads/good/1"), (3, "http://y.bad.com/"), (4, "http://notbad.com/"), (5, "http://x.net/never77/")], "page_id long, url string")
+    got = urls.judge(pages, (), urls.read_patterns(spark, str(tmp_path / "list.txt")))
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
 
 
 # mixing
@@ -82,6 +90,33 @@ def test_mix_meets_its_targets(spark):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
+def test_mix_solves_the_dual(spark):
+    rng = random.Random(16)
+    hist = {"a": Counter(rng.randrange(1, 300) for _ in range(500)), "b": Counter(rng.randrange(1, 40) for _ in range(200)), "full": Counter([5, 6])}
+    size = {k: sum(s * n for s, n in h.items()) for k, h in hist.items()}
+    target = {"a": 1.3 * size["a"], "b": 0.2 * size["b"], "full": 2.0 * size["full"]}
+    rows = spark.createDataFrame([(k, s, n) for k, h in hist.items() for s, n in h.items()], "k string, size long, n long")
+    goals = spark.createDataFrame([(k, target[k], 2.0 * size[k]) for k in hist], "k string, target double, limit double")
+    got = {r.k: r for r in mixing.balance(rows, goals, 3).collect()}
+    assert got["full"].lam is None
+    for k in "ab":
+        mean = size[k] / sum(hist[k].values())
+        taken = lambda lam: sum(s * n * 2 / (1 + np.exp(-np.clip(lam * s / mean, -700, 700))) for s, n in hist[k].items())  # noqa: B023, E731
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if taken(mid) < target[k] else (lo, mid)
+        assert got[k].mean == pytest.approx(mean) and got[k].lam == pytest.approx(lo, abs=1e-6)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(17)
+    sizes = {f"s{i:03}": rng.choice([0, 1, 5, 40, 1000]) for i in range(200)} | {None: 77}
+    per = spark.createDataFrame([(f"k{s}", s, n) for s, n in sizes.items()], "k string, source string, source_size long")
+    want = fill(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in mixing.targets(per).collect())
+
+
 def test_mix_hard_rows(edge, nothing):
     got = mixing.mix(edge).collect()
     assert len(got) == 9 and all(r.taken <= 2 * r.size for r in got) and mixing.mix(nothing).collect() == []
@@ -139,6 +174,24 @@ def test_leaks_just_above_the_threshold(spark, docs):
     assert len(got) >= 0.99 * len(items)
 
 
+def test_an_item_without_an_id(spark, docs):
+    bench = spark.createDataFrame([(None, "one two three four five six seven eight nine"), (4, "a b c d e f g")], "item_id long, text string")
+    rows = [(1, "so one two three four five six seven eight nine it is"), (2, "quite clean words"), (3, "a b c d e f g")]
+    for block in (decontaminate.BLOCK_BYTES, 20):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(rows), bench, block_bytes=block).collect()} == {(1, None), (3, 4)}
+        assert [r.doc_id for r in decontaminate.drop_contaminated(docs(rows), bench, block_bytes=block).collect()] == [2]
+
+
+def test_many_items():
+    rng = random.Random(19)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(20))) for i in range(20_000)]
+    began = time.perf_counter()
+    index = decontaminate.Items(items)
+    text = " ".join(" ".join(f"z{j}" for j in range(30)) + " " + items[i][1] for i in range(40)).encode()
+    got = list(index.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0.8))
+    assert {r[1] for r in got} == set(range(40)) and time.perf_counter() - began < 30
+
+
 def test_leak_hard_rows(spark, edge, nothing):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.find_leaks(edge, bench).collect()) == [1, 6, 6]
@@ -271,5 +324,60 @@ def test_terms_of_data_that_are_in_one_text_each(docs):
     assert all(set(got[i]) == {"Acmeco", "has"} for i in range(6)) and not any(got[10 + i] for i in range(60))
 
 
+def test_very_many_spans_and_long_texts(docs):
+    ips = " ".join(f"10.{i // 65536 % 256}.{i // 256 % 256}.{i % 256}" for i in range(60_000))
+    text = f"{ips} é and the rest"
+    began = time.perf_counter()
+    got = pii.report(docs([(1, text), (2, "no data")])).collect()
+    r = next(x for x in got if x.doc_id == 1)
+    assert r.n_ip == 60_000 and r.spans.endswith(f"ip:{len(ips) - len(ips.split()[-1])}:{len(ips)}")
+    out = {x.doc_id: x.text for x in pii.sanitise(docs([(1, text), (2, "no data")])).collect()}
+    assert out[1].split(" é")[0] == " ".join(["[ip]"] * 60_000) and out[2] == "no data"
+    assert time.perf_counter() - began < 120
+
+
+def test_cut_out(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices("abcdé日", k=rng.randrange(0, 400)))
+        at = [rng.randrange(len(text) + 1) for _ in range(2 * rng.randrange(0, 150))]
+        rows.append((i, text, sorted((min(p), max(p)) for p in zip(at[::2], at[1::2], strict=True))))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start: int, end: int>>")
+    name = lambda x, at: F.when(x["start"] == at, "_").otherwise("")
+    got = {r.i: r.out for r in df.select("i", pii.cut_out(F.col("text"), F.col("spans"), name).alias("out")).collect()}
+    for i, text, spans in rows:
+        want, upto = "", 0
+        for a, b in spans:
+            if a >= upto:
+                want += text[upto:a] + "_"
+            upto = max(upto, b)
+        assert got[i] == want + text[upto:]
+
+
+def test_terms_against_plain_counts(docs):
+    rng = random.Random(18)
+    people = [(f"p{i}@mail{i % 3}.org", f"Name{i}") for i in range(6)]
+    common = [f"common{i}" for i in range(12)]
+    rows = []
+    for i in range(90):
+        w = rng.choices(common, k=8)
+        if i % 2:
+            mail, name = rng.choice(people)
+            w[rng.randrange(8)] = mail
+            if rng.random() < 0.8:
+                w.insert(0, name)
+        rows.append((i, " ".join(w)))
+    mails = {i: {x for x in t.split() if "@" in x} for i, t in rows}
+    entities = {i: {f"m:{m}" for m in ms} | {"d:" + m.split("@")[1] for m in ms} for i, ms in mails.items()}
+    words = {i: {x.lower() for x in t.split() if "@" not in x} for i, t in rows}
+    n_e, n_t = Counter(e for es in entities.values() for e in es), Counter(w for ws in words.values() for w in ws)
+    both = Counter((e, w) for i in words for e in entities[i] for w in words[i])
+    telling = {w for (e, w), n in both.items() if n >= 3 and np.log(90 * n / (n_e[e] * n_t[w])) / np.log(90 / n_e[e]) >= 0.9}
+    assert telling and len(telling) < len(n_t)
+    got = term_spans(pii.report(docs(rows)), dict(rows))
+    assert all(got[i] == [x for x in t.split() if x.lower() in telling] for i, t in rows)
+
+
 def test_pii_hard_rows(edge):
     assert pii.report(edge).count() == 9 and pii.sanitise(edge).columns == edge.columns and pii.sanitise(edge).count() == 9
