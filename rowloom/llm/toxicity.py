@@ -1,9 +1,8 @@
 """Toxicity by a convolutional text classifier, trained in numpy, with thresholds calibrated by language.
 
 Words (lower-cased runs of letters, digits and non-ASCII bytes) get an embedding from two hashed tables side by side: one
-of the whole word, one of its stem, the first ``STEM`` bytes. The first number of an embedding starts at the smoothed log
-odds of its bucket among the training texts, the others at small random values. Filters of widths 1, 2 and 3 slide over the whole text; each
-filter's maximum, rectified, feeds a logistic output. Training walks whole texts of a bounded sample with Adam; buckets
+of the whole word, one of its stem, the first ``STEM`` bytes, all begun at small random values. Filters of widths 1, 2 and
+3 slide over the whole text; each filter's maximum, rectified, feeds a logistic output. Training walks whole texts of a bounded sample with Adam; buckets
 that the sample never touches are zero afterwards, so an unknown word changes nothing.
 
 On another part of the labelled rows a threshold is chosen for each language, told by the text's own function words,
@@ -143,10 +142,6 @@ def train(rows: list, epochs: int = EPOCHS, seed: int = 11) -> Model:
         return m
     t = _join([r[0] for r in part])
     rng = np.random.default_rng(seed)
-    for e, ids in ((m.ea, t.a), (m.eb, t.b)):
-        e[:-1, 0] = _log_odds(t, ids, y)
-    m.w[0] = np.abs(m.w[0])
-    m.w[HALF] = np.abs(m.w[HALF])
     dense = [m.w, m.bias, m.out]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in dense]
     grown = [np.full(len(m.ea), 1e-6, np.float32), np.full(len(m.eb), 1e-6, np.float32)]
@@ -169,16 +164,6 @@ def train(rows: list, epochs: int = EPOCHS, seed: int = 11) -> Model:
     return m
 
 
-def _log_odds(t: Texts, ids: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
-    """Log odds of a text with the bucket to be toxic against all texts; ``least`` texts of the common kind are added."""
-    text = np.repeat(np.arange(len(y)), np.diff(np.r_[t.first, len(ids)]))
-    once = np.unique(text * (BUCKETS + 1) + ids)
-    label, bucket = y[once // (BUCKETS + 1)], once % (BUCKETS + 1)
-    one, zero = (np.bincount(bucket, weights=w, minlength=BUCKETS + 1)[:-1] for w in (label, 1 - label))
-    rate = y.mean()
-    return (0.3 * np.log((one + least * rate) / (zero + least * (1 - rate)) * (1 - rate) / rate)).astype(np.float32)
-
-
 def _step(m: Model, t: Texts, docs, y, weight, dense, moments, grown, step) -> None:
     f = len(WIDTHS) * FILTERS
     size = np.maximum(t.size[docs], 1)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import time
@@ -6,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +251,29 @@ def test_quality_held_out(spark):
     assert len(good - kept) <= 0.02 * len(good) and len(kept - good) <= 0.2 * (len(y) - len(good))
 
 
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name, folds, held, least", [("toxic", 3, 1, (0.95, 0.85, 0.88)), ("quality", 4, 2, (0.99, 0.97, 0.97))])
+def test_classifiers_on_the_labelled_documents(name, folds, held, least):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
+    fold = docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % folds)
+    rows, test = [], docs[fold == held]
+    for v in (0, 1):
+        own = docs[(fold != held) & (docs[name] == v)]
+        rows += [(t, v, f, i, len(own) / min(len(own), 2000)) for t, f, i in list(zip(own.text, fold[own.index], own.doc_id, strict=True))[:2000]]
+    if name == "toxic":
+        model, score = toxicity.train(rows), np.zeros(len(test))
+        for i, t in toxicity.texts_of(pa.array(test.text.tolist())):
+            score[i : i + len(t.first)] = model.scores(t)
+    else:
+        score = quality.fit(rows).scores(test.text.tolist())
+    y, hit = test[name].to_numpy(), score >= 0.7
+    got = (auc(score, y), (y[hit] == 1).mean(), hit[y == 1].mean())
+    assert all(g >= w for g, w in zip(got, least, strict=True)), got
+
+
 @pytest.mark.parametrize("op, name", [(toxicity.scores, "toxic"), (quality.scores, "quality")])
 def test_classifier_hard_rows(spark, edge, nothing, op, name):
     none = spark.createDataFrame([], f"doc_id long, {name} int")
