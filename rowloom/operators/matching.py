@@ -37,9 +37,58 @@ def maximum_matching(near: np.ndarray) -> list[int]:
     return partner
 
 
+#: Pairs of copies that are matched one by one, and pairs of distinct rows that a group may have at most.
+COPIES, PAIRS = 1 << 22, 1 << 28
+
+
+def matched_copies(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many copies of each distinct row find a partner in a largest matching; ``left`` and ``right`` count the copies.
+
+    As in ``maximum_matching``, but a chain of re-assignments moves as many copies at once as all of its links allow.
+    """
+    options = [np.flatnonzero(row).tolist() for row in near]
+    open_, free = left.tolist(), right.tolist()
+    held: list[dict[int, int]] = [{} for _ in free]
+    for start in range(len(options)):
+        while open_[start]:
+            came: dict[int, int] = {}
+            left_by: dict[int, int] = {start: -1}
+            line, end = deque([start]), -1
+            while line and end < 0:
+                at = line.popleft()
+                for r in options[at]:
+                    if r in came:
+                        continue
+                    came[r] = at
+                    if free[r]:
+                        end = r
+                        break
+                    for x in held[r]:
+                        if x not in left_by:
+                            left_by[x] = r
+                            line.append(x)
+            if end < 0:
+                break
+            chain, r = [], end
+            while r >= 0:
+                chain.append((came[r], r))
+                r = left_by[came[r]]
+            n = min(open_[start], free[end], *(held[left_by[x]][x] for x, _ in chain if left_by[x] >= 0))
+            for x, r in chain:
+                held[r][x] = held[r].get(x, 0) + n
+                was = left_by[x]
+                if was >= 0:
+                    held[was][x] -= n
+                    if not held[was][x]:
+                        del held[was][x]
+            open_[start] -= n
+            free[end] -= n
+    return left - np.array(open_, np.int64), right - np.array(free, np.int64)
+
+
 def least_change(cost: np.ndarray, most: int) -> list[int]:
     """Partner of each left row (or -1): pairs by rising cost, then left, then right row; beyond ``most`` possible pairs,
-    row by row."""
+    row by row, which is how such groups are defined to pair."""
     n, m = cost.shape
     if n * m > most:
         return [i if i < m else -1 for i in range(n)]

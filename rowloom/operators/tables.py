@@ -1,6 +1,7 @@
 """Keyed multiset comparison of two tables.
 
-Rows are counted per side (a map-side combined sum before the exchange), so repeated rows travel once. A row of a key that
+Rows are dealt out by key once, and counted per side there. Where a key is hot they are counted first, by all their columns (a
+map-side combined sum before the exchange), so repeated rows travel once, and key presence is joined back. A row of a key that
 the other side lacks is LEFT_ONLY or RIGHT_ONLY; in common keys equal rows cancel one against one, and what is left is
 CHANGED. Under normalisation rules rows cancel by signature: the smallest left rows against the largest right rows, in
 the order of the encoded form. Only key groups that need a matching (a tolerance, or several changed rows on a side with
@@ -19,8 +20,10 @@ from pyspark.sql import types as T
 
 from rowloom.functions import encode, normalize
 from rowloom.operators import matching
-from rowloom.plans.options import TableOptions, TablePlan, plan_tables
+from rowloom.plans.options import CompareError, TableOptions, TablePlan, plan_tables
 
+#: Estimated bytes of both inputs up to which a hot key does no harm, and the share of the keys that tells of one beyond it.
+ONE_TASK, SAMPLE = 256 << 20, 0.001
 KINDS = ("LEFT_ONLY", "RIGHT_ONLY", "CHANGED")
 
 
@@ -48,6 +51,19 @@ class TableDiff:
         self.ignored = [of[c] for c in p.ignored]
         self.compared = [c for c in self.names if c not in self.ignored]
 
+    @cached_property
+    def skew_safe(self) -> bool:
+        """Whether rows meet by all their columns first and key presence is joined back. Where no option says so, keys are hot
+        if one has more than a quarter of a partition's share, in a sample of the keys; inputs that one task can hold are not."""
+        if self.options.skew_safe is not None:
+            return self.options.skew_safe
+        size = sum(int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for d in (self.left, self.right))
+        if size <= ONE_TASK:
+            return False
+        keys = self.left.select(*self.key).unionByName(self.right.select(*self.key)).sample(SAMPLE, seed=1)
+        most, total = keys.groupBy(*self.key).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+        return bool(total) and most * 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")) > total + 4 * most
+
     def _normal(self, c: str) -> Column:
         col = F.col(c)
         return normalize.normalise(col, self.options.rules) if isinstance(self.types[c], T.StringType) else col
@@ -64,6 +80,9 @@ class TableDiff:
         """One row per distinct row: k* the (normalised) key, s* the signature, the columns, l and r how often each side has it."""
         one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
         both = self.left.withColumns({"l": one, "r": zero}).unionByName(self.right.withColumns({"l": zero, "r": one}))
+        if not self.plan.rules_on and not self.skew_safe:
+            # dealt by key at once, which serves all that follows
+            both = both.repartition(*self.key)
         out = both.groupBy(*self.names).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
         if not self.plan.rules_on:
             return out
@@ -81,11 +100,11 @@ class TableDiff:
         """``counted`` with on_left and on_right: whether each side has the key."""
         rows = self.counted
         here = (F.max((F.col("l") > 0)), F.max((F.col("r") > 0)))
-        if not self.options.skew_safe:
-            w = Window.partitionBy(*self._k)
-            return rows.withColumns({"on_left": here[0].over(w), "on_right": here[1].over(w)})
         if self.plan.full_row_key:
             return rows.withColumns({"on_left": F.col("l") > 0, "on_right": F.col("r") > 0})
+        if not self.skew_safe:
+            w = Window.partitionBy(*self._k)
+            return rows.withColumns({"on_left": here[0].over(w), "on_right": here[1].over(w)})
         keys = rows.groupBy(*[F.col(k).alias(f"j{i}") for i, k in enumerate(self._k)]).agg(here[0].alias("on_left"), here[1].alias("on_right"))
         on = [F.col(k).eqNullSafe(F.col(f"j{i}")) for i, k in enumerate(self._k)]
         return rows.join(keys, on, "left").drop(*[f"j{i}" for i in range(len(self._k))])
@@ -114,9 +133,8 @@ class TableDiff:
         w = Window.partitionBy(*self._k)
         rows = rows.withColumns({"nl": F.sum("l").over(w), "nr": F.sum("r").over(w)})
         common = F.col("on_left") & F.col("on_right")
-        alone = rows.filter(~common).withColumns({"eq_l": F.lit(0).cast("long"), "eq_r": F.lit(0).cast("long")})
         pair = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        single = rows.filter(common & (F.col("nl") == 1) & (F.col("nr") == 1))
+        one = common & (F.col("nl") == 1) & (F.col("nr") == 1)
         test = F.lit(True)
         for c in self.compared:
             side = lambda v, s: F.max(F.when(F.col(s) > 0, v)).over(pair)
@@ -124,9 +142,11 @@ class TableDiff:
             if c in self.tolerance:
                 same = same | normalize.within(side(self._number(c), "l"), side(self._number(c), "r"), self.tolerance[c])
             test = test & same
-        equal = F.when(test, 1).otherwise(0).cast("long")
-        single = single.withColumn("equal", equal).withColumns({"eq_l": F.least("equal", "l"), "eq_r": F.least("equal", "r")}).drop("equal")
-        many = rows.filter(common & ~((F.col("nl") == 1) & (F.col("nr") == 1)))
+        # windows first, so that keys without and with a single partner share a pass
+        equal = F.when(one & test, 1).otherwise(0).cast("long")
+        few = rows.withColumn("equal", equal).filter(~common | one)
+        few = few.withColumns({"eq_l": F.least("equal", "l"), "eq_r": F.least("equal", "r")}).drop("equal")
+        many = rows.filter(common & ~one)
         values = {f"v{i}": self._normal(c) for i, c in enumerate(self.compared)}
         numbers = {f"n{c}": self._number(c) for c in self.tolerance}
         # a row's place in the order of the encoded form, so that the kernel needs no encoding
@@ -142,23 +162,29 @@ class TableDiff:
             eq = {"l": np.zeros(len(frame), np.int64), "r": np.zeros(len(frame), np.int64)}
             for a, b in zip(starts, starts[1:], strict=False):
                 at = np.arange(a, b)
-                lrow, rrow = np.repeat(at, l[a:b]), np.repeat(at, r[a:b])
-                near = np.ones((len(lrow), len(rrow)), bool)
+                on_l, on_r = at[l[a:b] > 0], at[r[a:b] > 0]
+                if len(on_l) * len(on_r) > matching.PAIRS:
+                    raise CompareError(f"a key has {len(on_l)} and {len(on_r)} distinct rows, too many to match under a tolerance")
+                near = np.ones((len(on_l), len(on_r)), bool)
                 for c, code in zip(compared, codes, strict=True):
-                    same = code[lrow][:, None] == code[rrow][None]
+                    same = code[on_l][:, None] == code[on_r][None]
                     if c in tolerance:
                         with np.errstate(invalid="ignore"):
-                            same |= np.abs(numbers[c][lrow][:, None] - numbers[c][rrow][None]) <= tolerance[c]
+                            same |= np.abs(numbers[c][on_l][:, None] - numbers[c][on_r][None]) <= tolerance[c]
                     near &= same
-                partner = np.array(matching.maximum_matching(near), int)
+                if l[on_l].sum() * r[on_r].sum() > matching.COPIES:
+                    eq["l"][on_l], eq["r"][on_r] = matching.matched_copies(near, l[on_l], r[on_r])
+                    continue
+                lrow, rrow = np.repeat(np.arange(len(on_l)), l[on_l]), np.repeat(np.arange(len(on_r)), r[on_r])
+                partner = np.array(matching.maximum_matching(near[lrow][:, rrow]), int)
                 met = partner >= 0
-                np.add.at(eq["l"], lrow[met], 1)
-                np.add.at(eq["r"], rrow[partner[met]], 1)
+                np.add.at(eq["l"], on_l[lrow[met]], 1)
+                np.add.at(eq["r"], on_r[rrow[partner[met]]], 1)
             frame["eq_l"], frame["eq_r"] = eq["l"], eq["r"]
             return frame[keep]
 
         done = matching.by_group(many, self._k, ["place"], match, schema)
-        return alone.unionByName(single).unionByName(done).drop("nl", "nr")
+        return few.unionByName(done).drop("nl", "nr")
 
     @cached_property
     def sides(self) -> DataFrame:
@@ -192,16 +218,15 @@ class TableDiff:
         if not self.options.cell_diff:
             return lone(rows)
         w = Window.partitionBy(*keys)
-        changed = rows.filter("kind = 'CHANGED'")
-        changed = changed.withColumns({"nl": F.count(F.when(F.col("side") == "left", 1)).over(w), "nr": F.count(F.when(F.col("side") == "right", 1)).over(w)})
-        one = changed.filter("nl = 1 and nr = 1").groupBy(*keys).agg(
-            F.max(F.when(F.col("side") == "left", F.col("row"))).alias("old"), F.max(F.when(F.col("side") == "right", F.col("row"))).alias("new")
-        )
-        one = one.select(*keys, F.lit("CHANGED").alias("kind"), "old", "new")
-        half = changed.filter("nl = 0 or nr = 0")
-        many = changed.filter("nl > 0 and nr > 0 and nl + nr > 2")
-        paired = one.unionByName(self._paired(many, keys)).withColumn("changed", F.when(F.col("old").isNull() | F.col("new").isNull(), empty).otherwise(self._changed("old", "new")))
-        return lone(rows.filter("kind <> 'CHANGED'")).unionByName(lone(half)).unionByName(paired)
+        of = lambda side, x: F.when(F.col("side") == side, x)
+        rows = rows.withColumns({"nl": F.count(of("left", 1)).over(w), "nr": F.count(of("right", 1)).over(w), "other": F.max(of("right", F.col("row"))).over(w)})
+        many = rows.filter("nl > 0 and nr > 0 and nl + nr > 2").drop("other")
+        # keys of one row a side are paired where they stand, at the left row
+        one = (F.col("nl") == 1) & (F.col("nr") == 1)
+        few = rows.filter("(nl = 0 or nr = 0 or nl + nr = 2) and not (nl = 1 and nr = 1 and side = 'right')")
+        few = few.select(*keys, "kind", F.coalesce(of("left", F.col("row")), none).alias("old"), F.when(one, F.col("other")).otherwise(of("right", F.col("row"))).alias("new"))
+        both = few.unionByName(self._paired(many, keys))
+        return both.withColumn("changed", F.when(F.col("old").isNull() | F.col("new").isNull(), empty).otherwise(self._changed("old", "new")))
 
     def _changed(self, old: str, new: str) -> Column:
         """Indexes of the compared columns that differ between two row structs."""

@@ -96,7 +96,8 @@ class TableOptions:
 
     ``keys`` or ``exclude_keys`` name the key (names, or indexes counted from ``index_base``); neither means all columns
     but those ignored or under a tolerance of their own. ``tolerance`` holds for every compared column, ``tolerances`` by
-    column. ``cell_diff`` pairs changed rows and lists the changed columns.
+    column. ``cell_diff`` pairs changed rows and lists the changed columns. ``skew_safe`` says whether a key may hold much of
+    the data; by default that is measured.
     """
 
     keys: Sequence[str | int] = ()
@@ -110,7 +111,7 @@ class TableOptions:
     tolerances: Mapping[str, float] = field(default_factory=dict)
     cell_diff: bool = False
     max_similarity_pairs: int = 4096
-    skew_safe: bool = True
+    skew_safe: bool | None = None
 
     def __post_init__(self) -> None:
         if self.keys and self.exclude_keys:

@@ -145,6 +145,11 @@ def multiset_diff_one_exchange(spark, sf_dir):
     return lineitem_diff(spark, sf_dir, skew_safe=False).rows()
 
 
+@query(multiset_sql(LINEITEM_LEFT, LINEITEM_RIGHT, LINEITEM, LINEITEM[:2]))
+def multiset_diff_skew_safe(spark, sf_dir):
+    return lineitem_diff(spark, sf_dir, skew_safe=True).rows()
+
+
 @query(multiset_sql(CUSTOMER_LEFT, CUSTOMER_RIGHT, CUSTOMER, CUSTOMER))
 def all_column_diff_customer(spark, sf_dir):
     return customer_diff(spark, sf_dir).rows()

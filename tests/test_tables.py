@@ -60,6 +60,28 @@ def test_matching_against_all_matchings(seed):
     assert len(used) == best
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_matched_copies_against_single_rows(seed):
+    rng = np.random.default_rng(seed)
+    n, m = rng.integers(1, 7, 2)
+    near = rng.random((n, m)) < 0.4
+    left, right = rng.integers(1, 5, n), rng.integers(1, 5, m)
+    got_l, got_r = matching.matched_copies(near, left, right)
+    lrow, rrow = np.repeat(np.arange(n), left), np.repeat(np.arange(m), right)
+    single = matching.maximum_matching(near[lrow][:, rrow])
+    assert got_l.sum() == got_r.sum() == sum(j >= 0 for j in single)
+    assert (got_l <= left).all() and (got_r <= right).all() and (got_l == np.bincount(lrow[[j >= 0 for j in single]], minlength=n)).all()
+
+
+def test_a_key_of_very_many_copies(spark):
+    from pyspark.sql import functions as F
+
+    left = spark.range(60_000).select(F.lit("k").alias("k"), (F.col("id") % 3).cast("string").alias("v"))
+    right = spark.range(50_000).select(F.lit("k").alias("k"), (F.col("id") % 3 + F.lit(0.5)).cast("string").alias("v"))
+    d = compare_tables(left, right, keys=["k"], tolerances={"v": 0.6})
+    assert counts(d)[0] == 50_000
+
+
 def test_cells_and_ranking(text_table, collected):
     left, right = text_table("id,name,price,updated", "1,old,10.00,10:00"), text_table("id,name,price,updated", "1,new,10.05,11:00")
     d = compare_tables(left, right, keys=["id"], cell_diff=True, ignore=["updated"], tolerances={"price": 0.1})
