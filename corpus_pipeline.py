@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``run`` writes a stage's rows as
 Parquet to the shared folder and reads them again as the next stage's documents.
+
+Of the documents only the columns doc_id, text, lang, source and n_chars go through; others, whatever their names, are left
+out by every stage but the last, which returns what it decides. An empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -23,27 +26,47 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go.
+
+    Null and empty texts score as the labels at large, so they stay where good labels are the more common; without labels of both
+    kinds all stay. Repeated rows and ties fare alike; a null doc_id is scored like any other.
+    """
     return quality.keep_good(_documents(docs), _table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines with an earlier near copy go out of the texts; n_chars follows."""
+    """Lines with an earlier near copy go out of the texts; n_chars follows.
+
+    All rows stay, also those whose text ends up empty. A null text stays null with n_chars null; a null doc_id comes after all
+    others; rows that share doc_id and text lose the same lines.
+    """
     return linededup.clean(_documents(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Null and empty texts are copies of each other; equal rows count as one; rows with a null doc_id stay; rows that share the
+    doc_id only are documents of their own.
+    """
     return simhash.keep_one(_documents(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and items match nothing; items with a null item_id count; repeated rows fare alike.
+    """
     return decontaminate.drop_contaminated(_documents(docs), _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken, so that the sources meet their target weights."""
+    """(doc_id, size, source_size, target, taken, copies): how often each document is taken, so that the sources meet their
+    target weights.
+
+    A null text has size 0 and is not taken; the null source is one of its own, last; repeated rows are rows of their own,
+    those of one size in the order of a hash of their doc_id.
+    """
     return mixing.mix(docs)
 
 
