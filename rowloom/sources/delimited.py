@@ -96,6 +96,19 @@ def read_table(spark: SparkSession, i: Input) -> DataFrame:
     return df.select(*[c.alias(f"_{k}") for k, c in enumerate(cells)]).toDF(*names)
 
 
+def ragged(spark: SparkSession, i: Input, most: int = 10) -> DataFrame:
+    """(file, line, cells): the first ``most`` records of a simple file whose width is not the header's; line counts a file's
+    lines that are not blank from 0, a split's place in its file by its blocks."""
+    width = len(header(spark, i))
+    rows = spark.read.text(i.path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    cells = F.length("value") - F.length(F.replace("value", F.lit(i.delimiter), F.lit(""))) + 1
+    bad = rows.filter((F.col("value") != "") & (cells != width)).select("file", "start", "id", cells.alias("cells"))
+    bad = bad.orderBy("file", "start", "id").limit(most)
+    first = rows.groupBy("file").agg(F.min("id").alias("first"))
+    # inside a split the numbers go up one by one, so a file of one split is exact
+    return bad.join(first, "file").select("file", (F.col("id") - F.col("first")).alias("line"), "cells").orderBy("file", "line")
+
+
 def inspect(spark: SparkSession, left: Input, right: Input, options: TableOptions | None = None) -> dict:
     """Headers, key and whether columns are reordered, from the first records alone."""
     a, b = header(spark, left), header(spark, right)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import threading
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,7 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowloom.plans.options import UsageError
 
-MOST_PATHS = 3
+MOST_PATHS, MOST_WATCHES = 3, 16
+_WATCHES = threading.BoundedSemaphore(MOST_WATCHES)
 
 
 def snapshot(paths: list[str]) -> list[tuple]:
@@ -30,18 +33,22 @@ def snapshot(paths: list[str]) -> list[tuple]:
 
 
 def wait_for_change(paths: list[str], before: list[tuple] | None = None, timeout: float = 20.0, every: float = 0.25) -> list[tuple] | None:
-    """The new snapshot once any field differs from ``before``, or None when time is up."""
-    import time
-
-    before = before or snapshot(paths)
-    end = time.monotonic() + timeout
-    while True:
-        now = snapshot(paths)
-        if now != before:
-            return now
-        if time.monotonic() >= end:
-            return None
-        time.sleep(every)
+    """The new snapshot once any field differs from ``before``, or None when time is up. At most ``MOST_WATCHES`` wait at a time;
+    another one is refused."""
+    if not _WATCHES.acquire(blocking=False):
+        raise UsageError(f"{MOST_WATCHES} watches are waiting already")
+    try:
+        before = before or snapshot(paths)
+        end = time.monotonic() + timeout
+        while True:
+            now = snapshot(paths)
+            if now != before:
+                return now
+            if time.monotonic() >= end:
+                return None
+            time.sleep(every)
+    finally:
+        _WATCHES.release()
 
 
 def changes(stats: DataFrame) -> DataFrame:

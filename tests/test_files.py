@@ -207,3 +207,38 @@ def test_tree_through_a_file_system(spark, tmp_path):
     assert [r.line for r in files.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["one", "two", "x" * 100]
     with pytest.raises(Exception, match="too long"):
         files.read_lines(spark, str(tmp_path / "l.txt"), max_line=50).collect()
+
+
+@pytest.mark.parametrize("codec, mark, end", [("cp932", b"", "\r\n"), ("euc_jp", b"", "\n"), ("utf-8", b"\xef\xbb\xbf", "\n"), ("utf-8", b"", "\r\n")])
+def test_three_way_merge_of_files_keeps_the_profile(spark, tmp_path, codec, mark, end):
+    from rowloom.plans.options import TableOptions
+    from rowloom.sources import merge
+
+    def put(name, *rows):
+        (tmp_path / name).write_bytes(mark + (end.join(["id,名前", *rows]) + end).encode(codec))
+        return str(tmp_path / name)
+
+    text = "日本語の長い文章です"
+    files_ = put("b.csv", f"1,{text}", "2,二番", '3,"a, b"'), put("l.csv", f"1,{text}改", "2,二番", '3,"a, b"'), put("r.csv", f"1,{text}", "2,二番", '3,"a, c"', "4,新")
+    m = merge.compare_files(spark, *files_, TableOptions(keys=["id"]))
+    assert m.write(f"file://{tmp_path}/out") == 4
+    got = b"".join(p.read_bytes().removeprefix(mark) for p in sorted((tmp_path / "out").glob("part-*"))).decode(codec).split(end)
+    assert [x for x in got if x and not x.startswith("id")] == [f"1,{text}改", "2,二番", '3,"a, c"', "4,新"]
+    assert all(p.read_bytes().startswith(mark) for p in (tmp_path / "out").glob("part-*"))
+
+
+def test_ragged_records_are_located(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("a\tb\n1\t2\n3\n4\t5\t6\n")
+    i = delimited.resolve(spark, str(tmp_path / "t.tsv"))
+    assert [tuple(r) for r in delimited.ragged(spark, i).collect()] == [("t.tsv", 2, 1), ("t.tsv", 3, 3)]
+
+
+def test_watches_are_bounded(tmp_path):
+    held = [watch._WATCHES.acquire(blocking=False) for _ in range(watch.MOST_WATCHES)]
+    try:
+        assert all(held)
+        with pytest.raises(UsageError):
+            watch.wait_for_change([str(tmp_path / "x")], timeout=0)
+    finally:
+        for _ in held:
+            watch._WATCHES.release()
