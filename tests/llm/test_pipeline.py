@@ -1,4 +1,6 @@
 import os
+import random
+from collections import Counter
 
 import pytest
 
@@ -34,3 +36,90 @@ def test_an_empty_corpus(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DIR}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def tables(folder, docs, items, labels=()):
+    spark = docs.sparkSession
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_hard_rows_through_all_stages(spark, edge, tmp_path):
+    sf = tables(tmp_path, edge, [(None, "quite another benchmark item of some length"), (1, None), (2, "")])
+    got = corpus_pipeline.run(spark, sf).collect()
+    # copies of lines leave 6 and 7 without text, like 2 (null), 3 and 4
+    assert sorted((r.doc_id for r in got), key=repr) == [1, 2, 5, None]
+    assert {r.doc_id: r.size for r in got}[5] == 30_000 and {r.doc_id: r.taken for r in got}[2] == 0
+
+
+def edits(a, b):
+    """Whether one word replaced, inserted or deleted, or none, makes b of a."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    a, b = sorted((a, b), key=len)
+    return any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def shingles(w, k=5):
+    return [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+
+
+def test_stages_against_brute_force(spark, docs, tmp_path):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(4)]
+    rows, shared = [], [" ".join(word() for _ in range(12)) for _ in range(5)]
+    for i in range(70):
+        lines = [" ".join(word() for _ in range(rng.randrange(8, 40))) for _ in range(rng.randrange(2, 6))]
+        if i % 4 == 1:
+            lines.insert(rng.randrange(len(lines)), rng.choice(shared))
+        if i % 6 == 2:
+            lines.append(f"{rng.choice(shared)} tail")
+        if i % 9 == 3:
+            lines.append(f"see {rng.choice(items)[1]} here")
+        rows.append((i, "\n".join(lines)))
+    for i in range(70, 90):  # near copies by words moved over line ends, which line dedup does not see
+        w = rng.choice(rows[:70])[1].split()
+        w[rng.randrange(len(w))] = "edited"
+        rows.append((i, "\n".join(" ".join(w[a : a + 7]) for a in range(0, len(w), 7))))
+    sf = tables(tmp_path, docs(rows), items)
+
+    seen, texts = [], {}
+    for i, t in rows:
+        kept = []
+        for line in t.split("\n"):
+            w = line.lower().split()
+            if not w or not any(w == v or (len(w) >= 5 and len(v) >= 5 and edits(w, v)) for v in seen):
+                kept.append(line)
+            seen.append(w)
+        texts[i] = "\n".join(kept)
+    sets = {i: set(shingles(t.lower().split())) for i, t in texts.items()}
+    alone = []
+    for i in sorted(texts):
+        # texts without words are copies of each other
+        if all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) if sets[i] or sets[j] else False for j in alone):
+            alone.append(i)
+    want = []
+    for i in alone:
+        w, leak = texts[i].lower().split(), False
+        for _, x in items:
+            own = Counter(shingles(x.split()))
+            for a in range(max(1, len(w) - 19)):
+                s = Counter(shingles(w[a : a + 20]))
+                leak = leak or 2 * sum((own & s).values()) >= 0.8 * (sum(own.values()) + sum(s.values()))
+        if not leak:
+            want.append(i)
+    assert len(want) < len(alone) < len(rows)
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert sorted(got) == want and all(got[i].size == len(texts[i].split()) for i in want)
+    sources = Counter()
+    for i in want:
+        sources[f"s{i % 3}"] += got[i].size
+    for k, name in enumerate(sorted(sources)):
+        own = [got[i] for i in want if f"s{i % 3}" == name]
+        assert own[0].source_size == sources[name] and own[0].target <= 2 * sources[name] + 1e-6
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) and k < 3
