@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm import buckets, sieve, store
 from rowloom.llm.components import connected_components
-from rowloom.llm.words import Words, chunks, mix, shingles
+from rowloom.llm.words import SPACE, Words, chunks, mix, shingles
 
 BITS, BLOCK = 64, 4
 #: Members or lookers that a bucket's cell holds at most.
@@ -333,9 +333,22 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", bands array<long>")
 
 
-def words_digest(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words of each text, as long."""
-    out = [int.from_bytes(blake2b(b" ".join(data[a:b].tobytes().split()), digest_size=8).digest(), "little", signed=True) for a, b in pairwise(offsets.tolist())]
+def words_digest(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of the words of each text, as long; long texts are read in pieces that end with a word."""
+    out = []
+    for a, b in pairwise(offsets.tolist()):
+        h, joint = blake2b(digest_size=8), b""
+        while a < b:
+            end = min(a + piece, b)
+            while end < b and not SPACE[data[end]]:
+                gap = np.flatnonzero(SPACE[data[end : min(end + 256, b)]])
+                end = end + int(gap[0]) if len(gap) else min(end + 256, b)
+            words = b" ".join(data[a:end].tobytes().split())
+            if words:
+                h.update(joint + words)
+                joint = b" "
+            a = end
+        out.append(int.from_bytes(h.digest(), "little", signed=True))
     return np.array(out, np.int64)
 
 
@@ -354,11 +367,17 @@ def shingles_of(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(size - k + 1, 1)
     first = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), np.uint64)
-    for n in range(1, k + 1):
-        own = np.flatnonzero(size == n) if n < k else np.flatnonzero(size >= k)
-        c = count[own]
-        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        out[np.repeat(first[own], c) + within] = shingles(w, n, np.repeat(w.first[:-1][own], c) + within)
+    for n in range(1, min(k, int(size.max(initial=0)) + 1)):
+        own = size == n
+        out[first[own]] = shingles(w, n, w.first[:-1][own])
+    whole = shingles(w, k)
+    if len(whole):
+        # words that begin a shingle: all of the longer texts' but the last k - 1 of each
+        long = size >= k
+        begins = np.repeat(long, size)
+        for j in range(1, k):
+            begins[w.first[1:][long] - j] = False
+        out[np.repeat(long, count)] = whole[begins[: len(whole)]]
     return out, first
 
 

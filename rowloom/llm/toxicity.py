@@ -30,6 +30,8 @@ COLUMNS = sum(WIDTHS) * FILTERS
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 FOLDS, HELD_OUT, CALIBRATE = 3, 1, 2
 CUT = 0.7
+#: Words that go through the filters together.
+PIECE = 1 << 16
 
 #: Frequent function words that tell a text's language.
 FUNCTION_WORDS = {
@@ -52,11 +54,12 @@ class Texts:
         self.size = size
         at = np.arange(len(w.hash)) + 2 * np.repeat(np.arange(n), size)
         total = len(w.hash) + 2 * n
-        self.a, self.b = np.full(total, BUCKETS, np.int64), np.full(total, BUCKETS, np.int64)
-        self.a[at] = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+        self.a, self.b = np.full(total, BUCKETS, np.int32), np.full(total, BUCKETS, np.int32)
+        self.a[at] = (w.hash & np.uint64(BUCKETS - 1)).astype(np.int32)
         stem = w.cut(w.start, np.minimum(w.end, w.start + STEM))
-        self.b[at] = (stem & np.uint64(BUCKETS - 1)).astype(np.int64)
-        text = np.repeat(np.arange(n), size)
+        self.b[at] = (stem & np.uint64(BUCKETS - 1)).astype(np.int32)
+        w.start = w.end = None
+        text = np.repeat(np.arange(n, dtype=np.int32), size)
         votes = np.stack([np.bincount(text[np.isin(w.hash, h)], minlength=n) for h in _function_hashes()] + [np.full(n, 0.5)], axis=1)
         self.lang = votes.argmax(axis=1)
 
@@ -93,8 +96,8 @@ class Model:
         self.cuts = dict.fromkeys(LANGS, 0.0)
         self.trained = False
 
-    def embed(self, t: Texts) -> np.ndarray:
-        return np.hstack([self.ea[t.a], self.eb[t.b]])
+    def embed(self, t: Texts, rows: slice) -> np.ndarray:
+        return np.hstack([self.ea[t.a[rows]], self.eb[t.b[rows]]])
 
     def slide(self, x: np.ndarray) -> np.ndarray:
         """Filter outputs (words, filters); the last rows of a text, its zero words, complete its wider windows."""
@@ -110,13 +113,22 @@ class Model:
         return out
 
     def logits(self, t: Texts) -> np.ndarray:
-        """Rows begin + max(size, 1) of a text are its windows; zero words behind a text reach into no other."""
+        """Rows first + max(size, 1) of a text are its windows; zero words behind a text reach into no other. Words go through the
+        filters in pieces of ``PIECE``, of which a text keeps the maxima."""
         if not len(t.first):
             return np.zeros(0)
-        y = self.slide(self.embed(t))
         n = np.maximum(t.size, 1)
-        edge = np.stack([t.first, t.first + n], axis=1).ravel()
-        top = np.maximum.reduceat(y, np.minimum(edge, len(y) - 1), axis=0)[::2]
+        top = np.full((len(n), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        for lo in range(0, len(t.a), PIECE):
+            hi = min(lo + PIECE, len(t.a))
+            y = self.slide(self.embed(t, slice(lo, hi + max(WIDTHS) - 1)))
+            own = np.arange(np.searchsorted(t.first, lo, "right") - 1, np.searchsorted(t.first, hi, "left"))
+            start, end = np.maximum(t.first[own], lo) - lo, np.minimum(t.first[own] + n[own], hi) - lo
+            own, start, end = own[end > start], start[end > start], end[end > start]
+            if len(own):
+                edge = np.stack([start, end], axis=1).ravel()
+                part = np.maximum.reduceat(y, np.minimum(edge, len(y) - 1), axis=0)[::2]
+                top[own] = np.maximum(top[own], part)
         return np.maximum(top + self.bias, 0) @ self.out + self.base
 
     def scores(self, t: Texts) -> np.ndarray:

@@ -1,12 +1,16 @@
+import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from rowloom.llm import components, embeddings, linededup, simhash
+from rowloom.llm import components, embeddings, linededup, simhash, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,6 +60,61 @@ def test_fingerprint_is_sparks_hash(spark):
     assert simhash.fingerprint(b"one two") == xxhash.xxh64_intdigest(b"one two", 42)
 
 
+def test_words_and_shingles_in_pieces(monkeypatch):
+    rng = random.Random(20)
+    for _ in range(100):
+        raw = ["".join(rng.choices("ab \n\tcé", k=rng.randrange(0, 40))).encode() for _ in range(rng.randrange(1, 9))]
+        data, off = words.LOWER[np.frombuffer(b"".join(raw), np.uint8)], np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+        w = words.Words(data, off)
+        assert [data[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)] == [x for r in raw for x in r.split()]
+        h, first = simhash.shingles_of(w, 5)
+        want = [[tuple(v[i : i + min(5, len(v))]) for i in range(max(1, len(v) - 4))] if v else [None] for v in (r.split() for r in raw)]
+        assert first.tolist() == np.cumsum([0, *[len(t) for t in want[:-1]]]).tolist()
+        flat = dict(zip((x for t in want for x in t), h.tolist(), strict=False))
+        assert [flat[x] for t in want for x in t] == h.tolist() and len(set(flat.values())) == len(flat)
+        whole = [hashlib.blake2b(b" ".join(r.split()), digest_size=8).digest() for r in raw]
+        for piece in (1 << 20, 3, 300):
+            assert simhash.words_digest(data, off, piece).tolist() == [int.from_bytes(x, "little", signed=True) for x in whole]
+        monkeypatch.setattr(words, "PIECE", 4)
+        again = words.Words(data, off)
+        monkeypatch.undo()
+        assert (again.hash == w.hash).all() and (again.start == w.start).all()
+
+
+@pytest.mark.parametrize("worker", ["op5", "op6", "op10", "pipeline"])
+def test_memory_of_long_texts(worker):
+    """What a Python worker does with a text of 32 MB, in a process of its own: at most 600 MB beyond the start."""
+    body = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from rowloom.llm import decontaminate, linededup, simhash, toxicity, words
+unit = "".join(f"some words{i} here and there\\n" for i in range(20000))
+col = pa.array([(unit * 64)[: 32 << 20]])
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+before, worker = used(), sys.argv[1]
+if worker == "op6":
+    model = toxicity.Model()
+    model.trained = True
+    for _, t in toxicity.texts_of(col):
+        model.scores(t)
+elif worker == "op10":
+    for _, _, x in linededup.blocks_of(col):
+        x.digests(np.flatnonzero(x.n))
+else:
+    index = decontaminate.Items([(1, "some words1 here and there some words2 here")])
+    for _, data, off in words.chunks(col):
+        if worker == "op5":
+            assert list(index.find(data, off, 0.8))
+        else:
+            w = words.Words(data, off)
+            h, first = simhash.shingles_of(w, 5)
+            simhash.words_digest(data, off), simhash.ones_of(h, first), simhash.band_keys(h, first)
+print(used() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", body, worker], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert int(out.stdout) < 600
+
+
 @pytest.mark.parametrize("most", [8192, 8])
 def test_simhash_against_all_pairs(docs, most):
     t = texts(300)
