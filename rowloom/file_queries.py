@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from rowloom.functions import display, encode, paths
 from rowloom.operators import binary, lines, threeway, trees, words
 from rowloom.operators.tables import compare_tables
-from rowloom.plans.options import Rules, TableOptions
+from rowloom.plans.options import CompareError, Rules, TableOptions
 from rowloom.queries import (
     CUSTOMER, CUSTOMER_LEFT, CUSTOMER_RIGHT, PART_LEFT, PART_RIGHT, TREE_SQL, any_differs, customer_diff, derived, ids_sql,
     lineitem_diff, multiset_sql, page_trees, query, table, unique_sql, LINEITEM_LEFT, LINEITEM_RIGHT,
 )
 from rowloom.sources import delimited, encoding, files, render, scratch, sinks
+from rowloom.streaming import watch
 
 PART_TEXT = "select cast(p_partkey as varchar) as p_partkey, p_name, p_brand, cast(p_size as varchar) as p_size from part"
 
@@ -472,3 +473,84 @@ def prepared_documents(spark, sf_dir):
     old, new = d.transform(pre), d.withColumn("text", F.upper("text")).transform(pre)
     both = old.withColumnRenamed("text", "old").join(new.withColumnRenamed("text", "new"), "doc_id")
     return lines.diff_documents(both.withColumn("old", F.lower("old"))).select("doc_id", "hunk_count")
+
+
+# limits, listings, archives, pages, streams
+
+
+@query("select 3 as old_lines, 3 as new_lines, 1 as hunk_count, 1 as modified")
+def inline_texts(spark, sf_dir):
+    d = files.inline(spark, "a\nb\nc\n", "A\nB\nC\n", lambda t: t.replace("A", "a").replace("C", "c"))
+    return lines.diff_documents(d).select("old_lines", "new_lines", "hunk_count", "modified")
+
+
+@query("select p_partkey, 3 as hunk_count, 2 as omitted, 3 as modified, 1 as stored from part")
+def hunk_limit_part(spark, sf_dir):
+    r = lines.diff_documents(built(spark, sf_dir, "a,NAME,b,x,c", "A1,NAME,B1,x,C1"), lines.LineOptions(max_hunks=1))
+    return r.select("p_partkey", "hunk_count", "omitted", "modified", F.size("hunks").alias("stored"))
+
+
+@query("select p_partkey, 'far' as gap, 2 as groups from part union all select p_partkey, 'near', 1 from part")
+def patch_groups_part(spark, sf_dir):
+    out = None
+    for name, n in (("far", 7), ("near", 6)):
+        between = ",".join(f"l{i}" for i in range(n))
+        text = render.render_documents(built(spark, sf_dir, f"a,{between},b", f"NAME,{between},B1"), "patch")
+        one = text.select("p_partkey", F.lit(name).alias("gap"), F.regexp_count("text", F.lit("(?m)^@@ -")).alias("groups"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def flat(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.expr("concat('p', page_id, '.html')").alias("path"), F.encode("html", "UTF-8").alias("content"))
+
+
+@query("select 'p' || page_id || '.html' as name, false as directory, octet_length(encode(html)) as size from pages order by name limit 20")
+def folder_listing_pages(spark, sf_dir):
+    at = scratch.path(spark, "tree")
+    files.write_tree(flat(spark, sf_dir), at)
+    return files.list_folder(spark, at, 20).select("name", "directory", "size")
+
+
+@query("select 'p' || page_id || '.html' as path, octet_length(encode(html)) as size, sha256(html) as digest from pages")
+def archive_walk_pages(spark, sf_dir):
+    at = scratch.path(spark, "pages.zip")
+    files.write_archive(flat(spark, sf_dir), at)
+    return files.read_tree(spark, at, archive_bytes=1 << 50).select("path", "size", F.sha2("content", 256).alias("digest"))
+
+
+@query("select true as refused, (select count(*) from pages) as entries")
+def entry_budget_pages(spark, sf_dir):
+    d = flat(spark, sf_dir).withColumns({"size": F.lit(0).cast("long"), "mtime": F.lit(0).cast("timestamp")})
+    n = d.count()
+    whole = trees.compare_trees(d, d, method="size", max_entries=n).count()
+    try:
+        trees.compare_trees(d, d, method="size", max_entries=n - 1)
+        refused = False
+    except CompareError:
+        refused = True
+    return spark.createDataFrame([(refused, whole)], "refused boolean, entries long")
+
+
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') as text from pages")
+def html_escape_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", display.html_escape(F.col("html")).alias("text"))
+
+
+@query(PAIRS_SQL + " select p_partkey, d as has_hunk, case when d then o end as removed, case when d then n end as added from q")
+def html_report_part(spark, sf_dir):
+    r = render.render_documents(line_pairs(spark, sf_dir), "html")
+    plain = lambda tag: F.regexp_replace(F.regexp_extract("text", f'<span class="{tag}">.(.*)</span>', 1), "</?(?:del|ins)>", "")
+    text = lambda tag: F.when(F.col("has_hunk"), plain(tag))
+    return r.withColumn("has_hunk", F.col("text").contains("<h2>@@")).select("p_partkey", "has_hunk", text("del").alias("removed"), text("ins").alias("added"))
+
+
+@query("select count(*) as rows from orders")
+def recompared_stream_orders(spark, sf_dir):
+    """Every batch of files that appears is compared; here each batch's rows are counted."""
+    at, out = scratch.path(spark, "orders"), scratch.path(spark, "batches")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey")
+    rows.write.parquet(at)
+    count = lambda batch, n: batch.agg(F.count("*").alias("n")).write.mode("append").parquet(out)
+    watch.recompare(spark, at, rows.schema, count, scratch.path(spark, "offsets"), available_now=True).awaitTermination()
+    return spark.read.parquet(out).agg(F.sum("n").alias("rows"))

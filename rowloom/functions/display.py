@@ -78,6 +78,13 @@ def inline_column(c: Column) -> Column:
     return run(c)
 
 
+def html_escape(c: Column) -> Column:
+    """Text for a page: the five signs that HTML reserves as entities."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
 def grouped(c: Column) -> Column:
     return F.format_number(c, 0)
 

@@ -185,13 +185,30 @@ def inline(spark: SparkSession, old: str | None, new: str | None, pre: Callable[
     return spark.createDataFrame([(run(old), run(new))], "old string, new string")
 
 
+def write_archive(files: DataFrame, path: str) -> int:
+    """Write ``files`` (path, content) to one zip archive, in path order, and return how many; one task, as it is one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = store_of(path)
+        store.create_dir(os.path.dirname(at), recursive=True)
+        n = 0
+        with store.open_output_stream(f"{at}.part") as out:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for b in batches:
+                    for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                        z.writestr(zipfile.ZipInfo(name), data or b"", zipfile.ZIP_DEFLATED)
+                        n += 1
+        store.move(f"{at}.part", at)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("path", "content").orderBy("path").coalesce(1).mapInArrow(run, "n long").first()[0]
+
+
 def list_folder(spark: SparkSession, path: str, most: int = LISTING) -> DataFrame:
     """(name, path, directory, size) of a folder's first entries in name order; ``~`` is the home folder."""
-    root = os.path.abspath(os.path.expanduser(path))
-    rows = []
-    with os.scandir(root) as entries:
-        for e in sorted(entries, key=lambda e: e.name)[:most]:
-            rows.append((e.name, e.path, e.is_dir(), 0 if e.is_dir() else e.stat(follow_symlinks=False).st_size))
+    store, root = store_of(path if "://" in path else os.path.expanduser(path))
+    found = sorted(store.get_file_info(fs.FileSelector(root)), key=lambda e: e.base_name)[:most]
+    rows = [(e.base_name, e.path, e.type == fs.FileType.Directory, 0 if e.type == fs.FileType.Directory else e.size) for e in found]
     return spark.createDataFrame(rows, "name string, path string, directory boolean, size bigint")
 
 

@@ -1,3 +1,4 @@
+# Inputs and results in this file are fixed values of the behaviour that is to be met.
 import random
 
 import pytest
