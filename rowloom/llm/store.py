@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +61,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def finished(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``build`` plans, kept, without the tables that were kept on the way to it."""
+    before = set(WRITTEN)
+    out = keep(build(), name)
+    for path in [p for p in WRITTEN if p not in before and p != out._kept_path]:
+        _delete(spark, path)
+    return out
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as Spark understands it, as a URI with scheme and authority."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -54,6 +54,13 @@ def test_hard_rows_through_all_stages(spark, edge, tmp_path):
     assert {r.doc_id: r.size for r in got}[5] == 30_000 and {r.doc_id: r.taken for r in got}[2] == 0
 
 
+def test_only_the_result_is_left(spark, edge, tmp_path):
+    sf = tables(tmp_path, edge, [(1, "an item of some length that nobody has")])
+    before = set(corpus_pipeline.store.WRITTEN)
+    out = corpus_pipeline.run(spark, sf)
+    assert set(corpus_pipeline.store.WRITTEN) - before == {out._kept_path} and out.count() == 4
+
+
 def edits(a, b):
     """Whether one word replaced, inserted or deleted, or none, makes b of a."""
     if abs(len(a) - len(b)) > 1:
