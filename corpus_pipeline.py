@@ -83,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what the stages kept on the way is deleted once it has been read for the last time."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = store.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        last, docs = docs, store.finished(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023
+        store.drop(last)
     return docs
