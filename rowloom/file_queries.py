@@ -357,7 +357,7 @@ def decoded_documents(spark, sf_dir):
 
 @query("select doc_id, case when doc_id % 5 <> 0 then text end as text from documents")
 def binary_guard_documents(spark, sf_dir):
-    data = F.when(F.col("doc_id") % 5 == 0, F.concat(F.unhex(F.lit("00")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    data = F.when(F.col("doc_id") % 5 != 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("00")), F.encode("text", "UTF-8")))
     return table(spark, sf_dir, "documents").select("doc_id", encoding.decode_column(data).alias("text"))
 
 

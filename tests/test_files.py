@@ -191,6 +191,24 @@ def test_detection_by_pairs_and_zero_bytes():
     assert detect(b"a\0b\0\0c\0d") not in ("utf-16le", "utf-16be")
 
 
+def test_a_zero_byte_before_a_short_text_is_binary(spark, tmp_path):
+    import duckdb
+
+    from rowloom.file_queries import binary_guard_documents
+    from rowloom.queries import ORACLES
+
+    for text in ("abc", "Von.", "€", "Ñoñ", "ab", "a", ""):
+        assert encoding.is_binary(b"\0" + text.encode())
+    for text, codec in (("ab", "utf-16-le"), ("ab", "utf-16-be"), ("5€", "utf-16-le"), ("€5", "utf-16-le"), ("Von.", "utf-16-be")):
+        assert not encoding.is_binary(text.encode(codec)) and encoding.decode(text.encode(codec)) == text
+    texts = ["", "a", "ab", "abc", "Von.", "It a.", "€", "Ñoñ", None]
+    rows = [(5 * i + k, t) for i, t in enumerate(texts) for k in range(5)] + [(-5, "abc"), (None, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = binary_guard_documents(spark, str(tmp_path)).collect()
+    want = duckdb.sql(ORACLES["binary_guard_documents"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_tree_through_a_file_system(spark, tmp_path):
     import zipfile
 
